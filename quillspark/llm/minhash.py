@@ -8,11 +8,13 @@ Links are then made certain on the full sets without forming all pairs of a grou
 
 1. Texts with equal sets are one node. In each bucket the node of least hash leads; every member is compared with
    its leader (one comparison for each node and band at most).
-2. Let A lead, and D(u) be the symmetric difference of u and A. If u isn't linked with A, then any v linked with u
-   shares at least t(u, v) = (|D(u)| + |D(v)| - 0.15 / 1.85 (|u| + |v|)) / 2 elements of D(u) and D(v), t > 0.
-   So such pairs are found by prefix filtering over D, in an order with the elements outside A (which edits
-   bring, and are rare) first, with PPJoin's positional bound, and confirmed on the full sets. Pairs whose
-   members are both linked with A are in one component already.
+2. What has one leader is a group; its hub R is the member with the fullest buckets, and groups with one hub are one. All
+   members are compared with R, those of large groups with a few further hubs too, and components are found.
+3. Let D(u) be the symmetric difference of u and R. If u isn't linked with R, then any v linked with u shares at least
+   t(u, v) = (|D(u)| + |D(v)| - 0.15 / 1.85 (|u| + |v|)) / 2 elements of D(u) and D(v), and t > 0. So the pairs that
+   are still open are found by prefix filtering over D, with PPJoin's positional bound, in an order with the elements
+   outside R first and rare ones before frequent ones (edits bring rare ones); only pairs of different components
+   are asked for, and they are confirmed on the full sets. Pairs whose members are both linked with R are in one already.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .scratch import Scratch
 from .textnum import chunks, mix, shingles, words
 
 FUNCTIONS, BANDS, ROWS = 48, 24, 4
+#: Groups of more members than this get so many hubs beyond the first before their open pairs are looked for.
+LARGE_GROUP, FURTHER_HUBS = 50, 1
 _odd = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -120,41 +124,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     led = member.join(bucket, "key").where("node <> a").groupBy("a", F.col("node").alias("u")).agg(F.max("m").alias("m"))
     led = scratch.keep(led)
 
+    fill = F.sum("m").alias("fill")
+    degree = member.join(bucket, "key").groupBy("node").agg(fill)
+
     wanted = led.select("a").union(led.select("u")).distinct().withColumnRenamed("a", "node")
     rep = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(rep, "doc_id", "left_semi").mapInArrow(_sets, "node long, h array<long>")
-    sets = scratch.keep(sets.dropDuplicates(["node"]))
+    plain = docs.join(rep, "doc_id", "left_semi").mapInArrow(_sets, "node long, h array<long>")
+    plain = scratch.keep(plain.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    # One order of elements for all sets: rare before frequent.
+    element = plain.select("node", F.explode("h").alias("x"))
+    often = element.groupBy("x").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    ordered = element.join(often, "x", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "x"))).alias("h"))
+    sets = scratch.keep(ordered.select("node", F.col("h.x").alias("h")))
 
     def with_sets(pairs: DataFrame, x: str, y: str) -> DataFrame:
         return pairs.join(sets.select(F.col("node").alias(x), F.col("h").alias("hx")), x).join(sets.select(F.col("node").alias(y), F.col("h").alias("hy")), y)
 
     share = F.size(F.array_intersect("hx", "hy")).cast("long")
-    sized = with_sets(led, "u", "a").select("a", "u", "m", F.size("hx").cast("long").alias("nu"), F.size("hy").cast("long").alias("na"), share.alias("i"))
-    sized = scratch.keep(sized.withColumn("linked", F.expr(f"100 * i >= {percent} * (na + nu - i)")))
-    edges = sized.where("linked").select(F.col("a").alias("x"), F.col("u").alias("y"))
 
-    # Pairs that the leaders leave open: d is |D(u)|; two linked sets differ in at most cut * (sum of their sizes) elements.
+    def compared(pairs: DataFrame) -> DataFrame:
+        out = with_sets(pairs, "u", "a").select("a", "u", "m", F.size("hx").cast("long").alias("nu"), F.size("hy").cast("long").alias("na"), share.alias("i"))
+        return scratch.keep(out.withColumn("linked", F.expr(f"100 * i >= {percent} * (na + nu - i)")))
+
+    def edges_of(rows: DataFrame) -> DataFrame:
+        return rows.where("linked").select(F.col("a").alias("x"), F.col("u").alias("y"))
+
+    sized = compared(led)
+    ranked = sized.where("m > 2").select("a", "u", "m").union(sized.where("m > 2").select("a", F.col("a").alias("u"), "m"))
+    hub = ranked.join(degree.withColumnRenamed("node", "u"), "u").groupBy("a").agg(F.max_by("u", F.struct("fill", "u")).alias("r"))
+    behind = sized.where("m > 2").join(hub, "a").where("r <> u")
+    same = behind.where("r = a").select("a", "u", "m", "nu", "na", "i", "linked")
+    moved = behind.where("r <> a").groupBy("r", "u").agg(F.max("m").alias("m")).withColumnRenamed("r", "a").join(same.select("a", "u"), ["a", "u"], "left_anti")
+    grouped = scratch.keep(same.union(compared(moved)).dropDuplicates(["a", "u"]).join(degree.withColumnRenamed("node", "u"), "u"))
+    edges = edges_of(sized).union(edges_of(grouped))
+
+    def in_components() -> DataFrame:
+        tied = scratch.keep(components(edges, scratch)).withColumnRenamed("node", "u")
+        return grouped.join(tied, "u", "left").withColumn("component", F.coalesce("component", "u"))
+
+    # Large groups get further hubs, one a round, from their members that no hub so far holds.
+    bars = None
+    for _ in range(FURTHER_HUBS):
+        state = scratch.keep(in_components())
+        large = state.groupBy("a").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("c1"), F.max("component").alias("c2")).where(f"rows > {LARGE_GROUP} and c1 < c2").select("a")
+        free = state.where("not linked").join(large, "a")
+        if bars is not None:
+            free = free.join(bars, "a").where("struct(fill, u) < bar").drop("bar")
+        bars = scratch.keep(free.groupBy("a").agg(F.max(F.struct("fill", "u")).alias("bar"), F.max_by("component", F.struct("fill", "u")).alias("own")))
+        if not bars.take(1):
+            break
+        pairs = state.join(bars, "a").where("component <> own").select(F.col("bar.u").alias("a"), "u", "m").dropDuplicates(["a", "u"])
+        edges = edges.union(edges_of(compared(pairs)))
+        bars = bars.select("a", "bar")
+
+    # Pairs that are still open: d is |D(u)|; two linked sets differ in at most cut * (sum of their sizes) elements.
     cut, far = (100 - percent) / (100 + percent), 2 * (100 - percent)
-    state = sized.where("m > 2").withColumn("d", F.expr("na + nu - 2 * i"))
+    state = scratch.keep(in_components()).withColumn("d", F.expr("na + nu - 2 * i"))
     state = state.withColumn("ring", F.expr(f"not linked and 100 * i >= {100 - far} * (na + nu - i)")).withColumn("odd", ~F.col("linked"))
-    groups = state.groupBy("a").agg(F.sum(F.col("ring").cast("long")).alias("rings"), F.sum(F.col("linked").cast("long")).alias("ins"), F.sum(F.col("odd").cast("long")).alias("odds"))
-    groups = groups.where("(rings > 0 and ins > 0) or odds > 1")
-    open_rows = state.join(groups, "a").where("(linked and rings > 0) or (odd and (odds > 1 or (ring and ins > 0)))")
+    groups = state.groupBy("a").agg(
+        *(F.sum(F.col(c).cast("long")).alias(f"{c}s") for c in ("ring", "linked", "odd")), F.min("component").alias("c1"), F.max("component").alias("c2")
+    ).where("c1 < c2 and ((rings > 0 and linkeds > 0) or odds > 1)").drop("c1", "c2")
+    open_rows = state.join(groups, "a").where("(linked and rings > 0) or (odd and (odds > 1 or (ring and linkeds > 0)))")
     placed = with_sets(open_rows, "u", "a").select(
-        "a", "u", "nu", "na", "d", "linked", "ring",
-        F.concat(F.array_sort(F.array_except("hx", "hy")), F.array_sort(F.array_except("hy", "hx"))).alias("delta"),
+        "a", "u", "nu", "na", "d", "linked", "ring", "component",
+        F.concat(F.array_except("hx", "hy"), F.array_except("hy", "hx")).alias("delta"),
     )
     # The longest prefix any pairing of the row can need. Linked: with ring rows, whose d exceeds cut * (nu + na).
     # Not linked: with others not linked, half; ring rows also with linked ones, d less its excess over the cut.
     top = 100 / percent
-    half = F.floor(F.expr(f"d / 2 + {cut} * greatest(0, {top} * nu - na) / 2")) + 1
+    half = F.floor(F.expr(f"d / 2 + {cut} * greatest(0, nu - na) / 2")) + 1
     ring_length = F.floor(F.expr(f"{cut} * (nu + least({top} * nu, {top} * na))")) + 1
     reach = F.when(F.col("linked"), half).when(F.col("ring"), F.greatest(half, ring_length)).otherwise(half)
-    prefix = placed.select("a", "u", "nu", "d", "linked", "ring", F.posexplode(F.slice("delta", 1, F.least(F.size("delta"), reach.cast("int")))).alias("p", "x"))
+    prefix = placed.select("a", "u", "nu", "d", "linked", "ring", "component", F.posexplode(F.slice("delta", 1, F.least(F.size("delta"), reach.cast("int")))).alias("p", "x"))
     prefix = scratch.keep(prefix)
     left, right = prefix.where("not linked").alias("l"), prefix.alias("r")
     t = f"(l.d + r.d - {cut} * (l.nu + r.nu)) / 2 - 1e-6"
-    met = left.join(right, F.expr(f"""l.a = r.a and l.x = r.x and l.u <> r.u and ((r.linked and l.ring) or (not r.linked and l.u < r.u))
+    met = left.join(right, F.expr(f"""l.a = r.a and l.x = r.x and l.component <> r.component and ((r.linked and l.ring) or (not r.linked and l.u < r.u))
         and 100 * l.nu >= {percent} * r.nu and 100 * r.nu >= {percent} * l.nu and 1 + least(l.d - l.p - 1, r.d - r.p - 1) >= {t}"""))
     met = met.select(F.col("l.u").alias("x"), F.col("r.u").alias("y")).distinct()
     more = with_sets(met, "x", "y").where(share * 100 >= percent * (F.size("hx") + F.size("hy") - share)).select("x", "y")
