@@ -25,7 +25,7 @@ from .scratch import Scratch
 from .textnum import chunks, words
 
 WINDOW, END = 4096, 2
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 
 
 def tokenizer_path() -> str:
@@ -48,7 +48,7 @@ class Encoder:
     def clear(self) -> None:
         self.index: dict[int, int] = {}
         self.pool, self.used = np.zeros(1 << 20, np.uint16), 0
-        self.first, self.length = np.zeros(CACHE_WORDS * 2, np.int64), np.zeros(CACHE_WORDS * 2, np.int64)
+        self.first, self.length = np.zeros(CACHE_WORDS + (1 << 19), np.int64), np.zeros(CACHE_WORDS + (1 << 19), np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, END after each; end of each text in them)."""
@@ -56,7 +56,7 @@ class Encoder:
         distinct, at, where = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(self.index) > CACHE_WORDS or len(self.index) + len(distinct) > len(self.first):
             self.clear()
-            self.first, self.length = (np.zeros(max(CACHE_WORDS * 2, len(distinct)), np.int64) for _ in range(2))
+            self.first, self.length = (np.zeros(max(CACHE_WORDS + (1 << 19), len(distinct)), np.int64) for _ in range(2))
         slots = np.fromiter((self.index.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
         new = np.flatnonzero(slots < 0)
         if len(new):
