@@ -111,7 +111,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterat
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), *map(pa.array, columns)], ["doc_id", "ids", "doc_tokens", "rest", "task", "local", "full"])
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 60) -> np.ndarray:
     """x >= 0 with small |a x - b|, by cyclic coordinate descent on the normal equations."""
     gram, right = a.T @ a, a.T @ b
     x, gradient = np.zeros(a.shape[1]), -right.astype(float)
@@ -128,7 +128,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
     return x
 
 
-def combinations(lengths: np.ndarray, counts: np.ndarray, window: int, most: int = 1500) -> list[dict[int, int]]:
+def combinations(lengths: np.ndarray, counts: np.ndarray, window: int, most: int = 3000) -> list[dict[int, int]]:
     """Multisets of at most three present lengths that fill the window exactly, for the most frequent lengths first;
     at most `most` of them. What no combination holds is left to the greedy step, so none is lost by the bound."""
     have = set(lengths.tolist())
@@ -146,7 +146,7 @@ def combinations(lengths: np.ndarray, counts: np.ndarray, window: int, most: int
             if z > 0 and z in have:
                 out[tuple(sorted((x, y, z)))] = None
                 tried += 1
-            if tried >= 4 or len(out) >= most:
+            if tried >= 12 or len(out) >= most:
                 break
         if len(out) >= most:
             break
