@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,11 +27,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole. Rows that share an id are one document: what is dropped is dropped from each. No rows give none."""
     lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line")).where("id is not null")
     keyed = lines.withColumn("line", line_key(F.col("line"))).where(F.length("line") >= min_chars)
-    keyed = keyed.select("id", F.unhex(F.md5("line")).alias("h"))
+    keyed = Scratch(docs.sparkSession, "linededup").keep(keyed.select("id", F.unhex(F.md5("line")).alias("h")))
     ends = keyed.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "least")
     lost = keyed.join(ends, "h").where("id > least").groupBy("id").agg(F.collect_set("h").alias("lost"))
-    out = docs.withColumn("__lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
-    out = out.join(lost.withColumnsRenamed({"id": "__id", "lost": "__lost"}), F.col(id_col) == F.col("__id"), "left")
+    out = docs.join(lost.withColumnsRenamed({"id": "__id", "lost": "__lost"}), F.col(id_col) == F.col("__id"), "left")
+    out = out.withColumn("__lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
     stays = F.filter("__lines", lambda x: ~F.array_contains(F.col("__lost"), F.unhex(F.md5(line_key(x)))) | (F.length(line_key(x)) < min_chars))
     out = out.withColumn("__kept", F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(stays))
     text = F.when(F.size("__kept") == F.size("__lines"), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
