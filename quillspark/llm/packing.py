@@ -113,8 +113,11 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterat
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 60) -> np.ndarray:
     """x >= 0 with small |a x - b|, by cyclic coordinate descent on the normal equations."""
-    gram, right = a.T @ a, a.T @ b
-    x, gradient = np.zeros(a.shape[1]), -right.astype(float)
+    return nnls_normal(a.T @ a, a.T @ b, rounds)
+
+
+def nnls_normal(gram: np.ndarray, right: np.ndarray, rounds: int) -> np.ndarray:
+    x, gradient = np.zeros(len(right)), -right.astype(float)
     for _ in range(rounds):
         largest = 0.0
         for j in range(len(x)):
@@ -168,12 +171,17 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[dict[int, lis
     runs: dict[int, list] = {int(x): [] for x in lengths}
     left, sequence = dict(histogram), 0
     if combos := combinations(lengths, counts, window) if len(lengths) else []:
-        row = {int(x): i for i, x in enumerate(lengths)}
-        a = np.zeros((len(lengths), len(combos)))
+        # The normal equations from the few entries of each combination; the matrix itself would be large and almost empty.
+        holders: dict[int, list[tuple[int, int]]] = {}
         for j, c in enumerate(combos):
             for x, k in c.items():
-                a[row[x], j] = k
-        repeats = [(c, round(x)) for c, x in zip(combos, nnls(a, counts.astype(float)).tolist(), strict=True)]
+                holders.setdefault(x, []).append((j, k))
+        gram = np.zeros((len(combos), len(combos)), np.float32)
+        for own in holders.values():
+            j, k = (np.array(v) for v in zip(*own, strict=True))
+            gram[np.ix_(j, j)] += np.outer(k, k)
+        right = np.array([sum(k * histogram[x] for x, k in c.items()) for c in combos], float)
+        repeats = [(c, round(x)) for c, x in zip(combos, nnls_normal(gram, right, 60).tolist(), strict=True)]
         for c, x in [*repeats, *((c, histogram[min(c)]) for c in combos)]:  # what rounding left over fills combinations again
             n = min([x, *(left[y] // k for y, k in c.items())])
             if n > 0:
