@@ -34,6 +34,8 @@ from .textnum import chunks, mix, shingles, words
 FUNCTIONS, BANDS, ROWS = 48, 24, 4
 #: Groups of more members than this get so many hubs beyond the first before their open pairs are looked for.
 LARGE_GROUP, FURTHER_HUBS = 50, 1
+#: Bytes of text whose words and shingles a worker holds at once.
+CHUNK = 1 << 18
 _odd = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -72,7 +74,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 def _signatures(batches: Iterator[pa.RecordBatch], banding=bands) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in chunks(batch["text"]):
+        for a, b in chunks(batch["text"], CHUNK):
             w = words(batch["text"].slice(a, b - a))
             text, value = shingles(w)
             n = np.bincount(text, minlength=b - a)
@@ -92,7 +94,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], banding=bands) -> Iterator[pa
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in chunks(batch["text"]):
+        for a, b in chunks(batch["text"], CHUNK):
             text, value = shingles(words(batch["text"].slice(a, b - a)))
             n = np.bincount(text, minlength=b - a)
             offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)

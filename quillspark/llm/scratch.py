@@ -18,6 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 class Scratch:
     """Writes tables as Parquet in the shared folder and reads them again, which cuts their lineage."""
 
@@ -26,9 +29,15 @@ class Scratch:
         self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
+        """The written table. While it is written, Arrow batches are small, which bounds the memory of Python workers and of their buffers."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(BATCH[0])
+        self.spark.conf.set(*BATCH)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(BATCH[0], before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = path
         return kept
