@@ -112,19 +112,23 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterat
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """x >= 0 with small |a x - b|, by cyclic coordinate descent on the normal equations."""
-    return nnls_normal(a.T @ a, a.T @ b, rounds)
+    """`nnls_columns` of a matrix."""
+    return np.array(nnls_columns([dict(enumerate(c)) for c in a.T.tolist()], dict(enumerate(b.tolist())), rounds))
 
 
-def nnls_normal(gram: np.ndarray, right: np.ndarray, rounds: int) -> np.ndarray:
-    x, gradient = np.zeros(len(right)), -right.astype(float)
+def nnls_columns(columns: list[dict[int, float]], b: dict[int, float], rounds: int) -> list[float]:
+    """x >= 0 with small |A x - b|, by cyclic coordinate descent. A column is given by its few entries, so no matrix is
+    formed: a step reads and changes the residual at a column's entries alone."""
+    x, residual = [0.0] * len(columns), {y: -float(n) for y, n in b.items()}
+    square = [sum(k * k for k in c.values()) for c in columns]
     for _ in range(rounds):
         largest = 0.0
-        for j in range(len(x)):
-            step = max(x[j] - gradient[j] / gram[j, j], 0.0) - x[j]
+        for j, c in enumerate(columns):
+            step = max(x[j] - sum(k * residual[y] for y, k in c.items()) / square[j], 0.0) - x[j]
             if step:
                 x[j] += step
-                gradient += step * gram[j]
+                for y, k in c.items():
+                    residual[y] += step * k
                 largest = max(largest, abs(step))
         if largest < 1e-3:
             break
@@ -171,17 +175,7 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[dict[int, lis
     runs: dict[int, list] = {int(x): [] for x in lengths}
     left, sequence = dict(histogram), 0
     if combos := combinations(lengths, counts, window) if len(lengths) else []:
-        # The normal equations from the few entries of each combination; the matrix itself would be large and almost empty.
-        holders: dict[int, list[tuple[int, int]]] = {}
-        for j, c in enumerate(combos):
-            for x, k in c.items():
-                holders.setdefault(x, []).append((j, k))
-        gram = np.zeros((len(combos), len(combos)), np.float32)
-        for own in holders.values():
-            j, k = (np.array(v) for v in zip(*own, strict=True))
-            gram[np.ix_(j, j)] += np.outer(k, k)
-        right = np.array([sum(k * histogram[x] for x, k in c.items()) for c in combos], float)
-        repeats = [(c, round(x)) for c, x in zip(combos, nnls_normal(gram, right, 60).tolist(), strict=True)]
+        repeats = [(c, round(x)) for c, x in zip(combos, nnls_columns(combos, histogram, 60), strict=True)]
         for c, x in [*repeats, *((c, histogram[min(c)]) for c in combos)]:  # what rounding left over fills combinations again
             n = min([x, *(left[y] // k for y, k in c.items())])
             if n > 0:
