@@ -12,10 +12,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .scratch import Scratch
 from .textnum import NOT_ALNUM, chunks, words
 
 BITS = 20
@@ -43,14 +45,42 @@ def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch["toxic"].slice(a, b - a), lists], ["toxic", "f"])
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of the task's texts hold each feature: positive ones, others."""
+    found = np.zeros((2, 1 << BITS), np.int32)
+    for batch in batches:
+        sizes = np.asarray(pc.list_value_length(batch["f"]))
+        positive = np.repeat(np.asarray(batch["toxic"]) > 0, sizes)
+        flat = np.asarray(batch["f"].flatten())
+        found += [np.bincount(flat[side], minlength=1 << BITS).astype(np.int32) for side in (positive, ~positive)]
+    used = np.flatnonzero(found.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(x[used].astype(np.int64)) for x in found)], ["feature", "p", "u"])
+
+
+def _only(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Rows with the selected features of their texts alone."""
+    chosen = np.zeros(1 << BITS, bool)
+    chosen[shared.value] = True
+    for batch in batches:
+        flat, sizes = np.asarray(batch["f"].flatten()), np.asarray(pc.list_value_length(batch["f"]))
+        keep = chosen[flat]
+        ends = np.concatenate(([0], np.cumsum(keep)))[np.concatenate(([0], np.cumsum(sizes)))]
+        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[keep]))], ["toxic", "f"])
+
+
+def selected(positive: np.ndarray, unlabelled: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Which features count, from the texts that hold them among n positive and m unlabelled ones."""
+    n, m = max(1, n), max(1, m)
+    both = (positive + unlabelled) / (n + m)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = np.nan_to_num((positive / n - unlabelled / m) / np.sqrt(both * (1 - both) * (1 / n + 1 / m)))
+    return (positive + unlabelled >= LEAST_TEXTS) & (z >= LEAST_Z)
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 40, rate: float = 0.05, l2: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias) of the model of least non-negative PU risk with the logistic loss, by Adam on batches."""
     df = [np.bincount(np.concatenate([*s, np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << BITS) for s in (positive, unlabelled)]
-    n, m = max(1, len(positive)), max(1, len(unlabelled))
-    both = (df[0] + df[1]) / (n + m)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = np.nan_to_num((df[0] / n - df[1] / m) / np.sqrt(both * (1 - both) * (1 / n + 1 / m)))
-    used = np.flatnonzero((df[0] + df[1] >= LEAST_TEXTS) & (z >= LEAST_Z))
+    used = np.flatnonzero(selected(df[0], df[1], len(positive), len(unlabelled)))
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
 
@@ -115,7 +145,15 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> dict:
     clean = known.where("toxic <= 0").orderBy(order, "doc_id").limit(MOST_UNLABELLED // 3)
     rest = docs.select("doc_id").where(side).join(known, "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(MOST_UNLABELLED - MOST_UNLABELLED // 3)
     chosen = positive.union(clean).union(rest.withColumn("toxic", F.lit(-1)))
-    sampled = docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(_featurised, "toxic int, f array<int>").toArrow()
+    sampled = docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(_featurised, "toxic int, f array<int>")
+    sampled = Scratch(docs.sparkSession, "toxicity").keep(sampled)
+    # Only features that count reach the driver.
+    sizes = {r.positive: r.n for r in sampled.groupBy((F.col("toxic") > 0).alias("positive")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    df = sampled.mapInArrow(_frequencies, "feature int, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    df = df.where(f"p + u >= {LEAST_TEXTS} and p > 0").toArrow()
+    counted = selected(np.asarray(df["p"]), np.asarray(df["u"]), sizes.get(True, 0), sizes.get(False, 0))
+    shared = docs.sparkSession.sparkContext.broadcast(np.asarray(df["feature"])[counted])
+    sampled = sampled.mapInArrow(partial(_only, shared=shared), "toxic int, f array<int>").toArrow()
     kind = np.asarray(sampled["toxic"])
     rows = [np.asarray(x.values) for x in sampled["f"]]
     pos = [r for r, k in zip(rows, kind, strict=True) if k > 0]
