@@ -25,8 +25,8 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least id, and rows with null ids. Rows that share an id are one document."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    """Of each group of near-duplicates (a similarity of 0.8 or more) the document of least id, and rows with null ids. Rows that share an id are one document."""
+    kept = minhash.near_duplicates(docs, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.where("doc_id is null").union(docs.join(kept, "doc_id", "left_semi").select(*docs.columns))
 
 

@@ -84,6 +84,17 @@ def test_open_pairs_of_a_group(spark, seed):
     assert result(near_duplicates(df, banding=one_bucket)) == brute(rows)
 
 
+def test_pipeline_stage_links_from_080(spark):
+    """The stage against brute force at 80, on rows of which some are linked at 80 only."""
+    import corpus_pipeline
+
+    rows = made(3)
+    want = {d for d, _, _, kept in brute(rows, 80) if kept}
+    assert want < {d for d, _, _, kept in brute(rows) if kept}
+    got = corpus_pipeline.remove_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in got.collect()} == want
+
+
 def test_edges(spark):
     long_text = "word " * 60_000
     rows = [(1, None, "x"), (2, "", "x"), (3, " \n\t", "x"), (4, "A b", "x"), (5, "a  B", "x"), (6, long_text, "x"), (7, long_text, "x"), (7, long_text, "y"), (None, "a b", "z"), (8, "b a", "")]
