@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes for what they miss.
 
 The field's tokens are runs of letters, runs of digits, and single other characters; its features are the shapes of a token
-and its neighbours; its labels are begin and inside of each kind, and outside. A label other than outside needs a digit or
-an @ in the line, so lines without either are outside as a whole. Weights are trained by gradient ascent on the labelled table
+and its neighbours; its labels are begin and inside of each kind, and outside. A span that is kept holds an ASCII digit, an @ or
+"(at)" (see `plausible`), so lines without any of them are not decoded. Weights are trained by gradient ascent on the labelled table
 below; decoding is by Viterbi, in numpy over batches of lines of like length.
 """
 
@@ -256,16 +256,21 @@ def plausible(kind: str, text: str) -> bool:
     return {"ip": 4 <= digits <= 12 and text.count(".") == 3, "card": 13 <= digits <= 19, "phone": 7 <= digits <= 15}[kind]
 
 
+def may_hold_spans(text: str) -> bool:
+    """Whether a text holds what `plausible` asks of any kind of span."""
+    return "@" in text or "(at)" in text or _DIGIT.search(text) is not None
+
+
 def all_spans(field: Field, texts: list[str]) -> list[tuple[list, list]]:
     """Of each text (base spans, all spans): the field's spans are added where they are plausible and touch no base span."""
     lines, where = [], []
     base = [base_spans(t) for t in texts]
     for i, text in enumerate(texts):
-        if not ("@" in text or _DIGIT.search(text)):
+        if not may_hold_spans(text):
             continue
         at = 0
         for line in text.split("\n"):
-            if "@" in line or _DIGIT.search(line):
+            if may_hold_spans(line):
                 lines.append(line)
                 where.append((i, at))
             at += len(line) + 1
