@@ -88,6 +88,24 @@ def test_longest_common_subsequence():
         assert index.common(0, text) == lcs(own, text.tolist())
 
 
+def test_latent_space_is_of_all_rows(spark):
+    """Words of one document of 3,300, the last in the order of the hash, and words of one of 4,200 items have places in the space."""
+    import pyarrow as pa
+
+    from quillspark.llm.textnum import words
+
+    rng = random.Random(6)
+    common = [f"{a}{b}rn" for a in "bcdfgl" for b in "aeiou"]
+    ids = [r.id for r in spark.range(3300).orderBy(F.xxhash64("id", F.lit(29)), "id").collect()]
+    rare = "quolith vamper zindle orrick tessom"
+    docs = spark.createDataFrame([(i, rare if i == ids[-1] else prose(rng, common, 12)) for i in ids], "doc_id long, text string")
+    texts = [f"{prose(rng, common, 9)} {k}" for k in range(4200)]
+    last = spark.createDataFrame([(t,) for t in texts], "text string").orderBy(F.desc(F.xxhash64("text"))).first()[0]
+    projection = decontam.fit(docs, spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"))[1]
+    for text in (rare, last.split()[-1]):
+        assert (np.linalg.norm(projection[decontam.feature(words(pa.array([text])))], axis=1) > 0).all()
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     words = [f"{a}{b}{c}" for a in "bcdfgl" for b in "aeiou" for c in ("rn", "st", "mp", "ck")]
