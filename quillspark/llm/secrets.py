@@ -1,7 +1,7 @@
 """Secret scan: candidate strings by pattern, false positives removed by a random forest; DataFrame operations only.
 
-A candidate is a run of at least 12 key characters with a digit in it. The forest's features are its length, transitions between kinds of
-characters, spread of characters, dictionary coverage, whether it lies in a path, and the words beside it. It is trained
+A candidate is a run of at least 12 key characters, or, of any length and characters, what follows a secret's name and an assignment, or
+a run that starts with the prefix of a known kind of key. The forest's features are its length, transitions between kinds of characters, spread of characters, dictionary coverage, whether it lies in a path, and the words beside it. It is trained
 from a table of labelled findings, by default one that SQL makes by rule.
 """
 
@@ -13,13 +13,23 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}={0,2}"
+PREFIX = "AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|sk[-_]|pk_|xox[abprs]-|eyJ|ya29"
+_MARK = r"(?::=|=>|==|[=:])\s{0,2}(?:(?i:bearer|basic)\s{1,2})?"
+_ASSIGNED = rf"(?i:key|token|secret|passw|pwd|auth|bearer|credential|private|api)[A-Za-z0-9_-]{{0,12}}[\"'`]?\s{{0,2}}{_MARK}"
+#: A quoted value up to its closing quote, any other up to white space, a quote, or closing punctuation.
+_VALUE = r"(?!(?i:bearer|basic)\s)[^\s\"'`]*[^\s\"'`,;.)\]}>]"
+CANDIDATE = "|".join((
+    *(rf"(?<={_MARK}{q})(?<={_ASSIGNED}{q})[^{q}\n]+(?={q})" for q in ('"', "'", "`")),
+    rf"(?<={_MARK}[\"'`]?)(?<={_ASSIGNED}[\"'`]?){_VALUE}",
+    rf"(?<![A-Za-z0-9_+/-])(?:{PREFIX}){_VALUE}",
+    r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}+(?:={1,2}(?![A-Za-z0-9_+/\"'`=-]))?",
+))
 #: Code points of text beside a candidate that are looked at.
 BESIDE = 32
 TREES, DEPTH, SEED = 24, 6, 13
 #: Words whose share of a candidate's characters is its dictionary coverage.
 WORDS = "about account admin agent alpha answer apple apply april august base batch beta block board build cache call card case chapter check city class client code commit config count country data date debug demo dev doc draft email error event example fail field figure file final first format from group guide host house image index info input issue item january java key kind label level light line link list local log main march master member memory model month name node note number object office order output page part path people phone place plan point post press print product public range read record release report room row run sample scale school section server service set size source stage start state story street string study system table task team test text time title token tool total type unit update user value version view volume water web week window word work world year".split()
-FEATURES = ("length", "digits", "uppers", "lowers", "turns", "spread", "vowels", "covered", "hex", "uuid", "dated", "slashes", "dashes", "in_path", "named_secret", "named_other", "assigned", "prefixed")
+FEATURES = ("length", "digits", "uppers", "lowers", "turns", "spread", "vowels", "covered", "hex", "uuid", "dated", "slashes", "dashes", "in_path", "named_secret", "named_other", "assigned", "prefixed", "symbols", "spaces", "told")
 
 
 def _share(text: Column, pattern: str, n: Column) -> Column:
@@ -49,7 +59,10 @@ def with_features(found: DataFrame) -> DataFrame:
         "named_secret": before.rlike(r"(key|token|secret|passw|pwd|auth|bearer|credential|private|api)[^.!?\n]{0,12}$"),
         "named_other": near.rlike(r"(commit|sha|hash|checksum|digest|md5|uuid|guid|\bid\b|version|revision|build|etag|order|phone|card|isbn|row)"),
         "assigned": F.col("before").rlike(r"[=:]\s{0,2}[\"'`]?$"),
-        "prefixed": c.rlike("^(AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|sk[-_]|pk_|xox[abprs]-|eyJ|ya29)"),
+        "prefixed": c.rlike(f"^({PREFIX})"),
+        "symbols": _share(c, r"[^A-Za-z0-9_+/\s-]", n),
+        "spaces": _share(c, r"\s", n),
+        "told": F.col("before").rlike(r":\s{1,2}$"),
     }
     return found.withColumns({k: v.cast("double") for k, v in columns.items()}).fillna(0.0, list(columns))
 
@@ -84,6 +97,18 @@ def labelled_findings(spark: SparkSession, n: int = 2400) -> DataFrame:
         (f"concat({word(3)}, '-', {word(4)}, '-', {number(5, 50)}, '-', {word(7)})", "'https://site.example/'", "'/page.html'", 0),
         (f"concat('your-', {word(3)}, '-', {word(4)}, '-', {number(5, 10)})", f"concat({name}, {mark})", "' (example)'", 0),
         (f"repeat({number(3, 10)}, 16)", "'the number '", "' is printed'", 0),
+        (f"concat('AKIA', translate(substr({upper}, 1, 16), '23457', 'BCEFG'))", "'here and there '", "' and more text'", 1),
+        (f"translate(substr({mixed}, 1, 16), '0123456789', 'CDFGhjklPN')", f"concat('set ', {name}, {mark})", "'\" in the text'", 1),
+        (f"concat(substr({mixed}, 1, 4), '!', substr({mixed}, 9, 3), '$')", f"concat('set ', {name}, {mark})", "' and then'", 1),
+        (f"concat(substr({word(3)}, 1, 3), '!', substr({word(4)}, 1, 4), '$')", f"concat('set ', {name}, {mark})", "' and then'", 1),
+        (f"concat({word(3)}, {word(4)}, {word(5)})", f"concat('set ', {name}, '=')", "' in the text'", 1),
+        (f"concat({word(3)}, ' ', {word(4)}, ' ', {word(5)})", f"concat({name}, '=\"')", "'\" in the text'", 1),
+        (f"concat('eyJ', substr({mixed}, 1, 20), '.', substr({mixed}, 5, 30))", "'text '", "' text'", 1),
+        (f"concat({word(3)}, {word(4)})", "'some words of the '", "' and more text'", 0),
+        (f"concat({word(3)}, '/', {word(4)}, '/', {word(6)})", "'either '", "' or none'", 0),
+        (f"concat({word(3)}, '-', {word(4)}, '_', {word(6)})", "'the '", "' of it'", 0),
+        (word(3), f"concat('the ', {name}, ': ')", "' is what we saw'", 0),
+        (f"repeat(element_at(array('-', '_', '+', '/'), 1 + cast(pmod(hash(id, 3), 4) as int)), 12 + cast(pmod(hash(id, 4), 60) as int))", "'text '", "' text'", 0),
     ]
     case = lambda i: "case pmod(id, {}) {} end".format(len(shapes), " ".join(f"when {k} then {s[i]}" for k, s in enumerate(shapes)))
     return spark.range(n).selectExpr(f"{case(0)} as candidate", f"{case(1)} as before", f"{case(2)} as after", f"cast({case(3)} as double) as label")
@@ -103,8 +128,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     # Of each candidate, where it starts: the lengths of all gaps up to it and of all candidates before it.
     some = some.withColumn("starts", F.expr("""aggregate(sequence(1, size(hits)), cast(array() as array<bigint>), (acc, i) -> array_append(acc,
         cast(length(gaps[i - 1]) as bigint) + if(i = 1, 0, acc[i - 2] + length(hits[i - 2]))))"""))
+    # The text beside a candidate reaches over the candidate next to it: a long name is one itself.
     each = some.select("doc_id", F.explode(F.expr(f"""transform(sequence(1, size(hits)), i -> named_struct('start', starts[i - 1], 'candidate', hits[i - 1],
-        'before', right(gaps[i - 1], {BESIDE}), 'after', left(gaps[i], {BESIDE})))""")).alias("x"))
+        'before', right(concat(if(i = 1, '', concat(right(gaps[i - 2], {BESIDE}), right(hits[i - 2], {BESIDE}))), right(gaps[i - 1], {BESIDE})), {BESIDE}),
+        'after', left(concat(left(gaps[i], {BESIDE}), if(i = size(hits), '', concat(left(hits[i], {BESIDE}), left(gaps[i + 1], {BESIDE})))), {BESIDE})))""")).alias("x"))
     return each.select("doc_id", "x.start", (F.col("x.start") + F.length("x.candidate")).alias("end"), "x.candidate", "x.before", "x.after")
 
 
