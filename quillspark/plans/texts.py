@@ -246,3 +246,19 @@ def strip_bullets(spark, d):
     mark = F.get(F.array(*map(F.lit, ("1. ", "(12) ", "• ", "(cid:3) "))), (F.col("doc_id") % 4).cast("int"))
     x = F.regexp_replace(F.regexp_replace(F.concat(mark, F.substring("text", 1, 40)), P.NUMBERED, ""), P.BULLET, "")
     return table(spark, d, "documents").where(F.col("text").rlike("^[A-Za-z]")).select("doc_id", x.alias("text"))
+
+
+# ---- the same operators on whole texts of all documents, as they are ----
+@query()
+def decision_flag_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.is_decision(F.col("text")).alias("flag"))
+
+
+@query()
+def strip_prefix_block_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", S.strip_letterhead(F.col("text")).alias("text"))
+
+
+@query()
+def strip_bullets_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", P.NUMBERED, ""), P.BULLET, "").alias("text"))
