@@ -76,6 +76,7 @@ def labelled_findings(spark: SparkSession, n: int = 2400) -> DataFrame:
     mark = "element_at(array('=', ' = \"', ': ', ': \\'', '=\"'), 1 + cast(pmod(hash(id, 2), 5) as int))"
     word = lambda i: f"element_at(array('main', 'report', 'release', 'chapter', 'table', 'user', 'index', 'server', 'config', 'sample'), 1 + cast(pmod(hash(id, {i}), 10) as int))"
     number = lambda i, m: f"cast(pmod(hash(id, {i}), {m}) as string)"
+    prose = f"translate(substr({hexa}, 1, 12 + cast(pmod(hash(id, 3), 8) as int)), '0123456789abcdef', 'ehtinoaersbldchu')"
     shapes = [  # candidate, before, after, label
         (f"concat('AKIA', substr({upper}, 1, 16))", "'here and there '", "' and more text'", 1),
         (f"substr({hexa}, 1, 40)", f"concat('some text ', {name}, {mark})", "'\" in the text'", 1),
@@ -105,6 +106,9 @@ def labelled_findings(spark: SparkSession, n: int = 2400) -> DataFrame:
         (f"concat({word(3)}, ' ', {word(4)}, ' ', {word(5)})", f"concat({name}, '=\"')", "'\" in the text'", 1),
         (f"concat('eyJ', substr({mixed}, 1, 20), '.', substr({mixed}, 5, 30))", "'text '", "' text'", 1),
         (f"concat({word(3)}, {word(4)})", "'some words of the '", "' and more text'", 0),
+        (f"initcap({prose})", "'some words. '", "' and more text'", 0),
+        (f"upper({prose})", "'SOME WORDS '", "' AND MORE'", 0),
+        (prose, "'some words of the '", "' and more text'", 0),
         (f"concat({word(3)}, '/', {word(4)}, '/', {word(6)})", "'either '", "' or none'", 0),
         (f"concat({word(3)}, '-', {word(4)}, '_', {word(6)})", "'the '", "' of it'", 0),
         (word(3), f"concat('the ', {name}, ': ')", "' is what we saw'", 0),
