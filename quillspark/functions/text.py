@@ -63,15 +63,74 @@ def n_words(c: Column) -> Column:
 
 
 def words_between(c: Column, a: Column, b: Column) -> Column:
-    """Words between two spans; 0 where they touch or overlap."""
+    """Words between two spans of `c`; 0 where they touch or overlap. Of many spans of one text, see `marked_spans`."""
     gap = F.when(b["s"] >= a["e"], part(c, a["e"], b["s"])).when(a["s"] >= b["e"], part(c, b["e"], a["s"]))
     return F.when(gap.isNull(), 0).otherwise(n_words(gap))
 
 
-def negated(c: Column, start: Column) -> Column:
-    """Whether one of the last three words before a place is a negator."""
-    before = F.regexp_extract_all(F.lower(part(c, F.lit(0), start)), F.lit(r"(?U)\w+"), F.lit(0))
-    return F.arrays_overlap(F.slice(F.reverse(before), 1, 3), F.array(*map(F.lit, P.NEGATORS)))
+def gaps_and_hits(c: Column, pattern: str) -> Column:
+    """(gaps, hits): what lies between the matches of a pattern, and the matches; both empty without one."""
+    none = F.array().cast("array<string>")
+    return F.struct(
+        F.when(c.rlike(pattern), F.split(c, pattern, -1)).otherwise(none).alias("gaps"),
+        F.when(c.rlike(pattern), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))).otherwise(none).alias("hits"),
+    )
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def marked_spans(gaps: Column, hits: Column) -> Column:
+    """(s, e, ws, we, negated) of each match, in one fold over what `gaps_and_hits` found, which reads each character once.
+
+    s and e are code points. ws counts the words that begin before s; we those that begin before e, less one that goes on at e: so
+    the words between two spans are a difference of the two (`words_apart`). negated: one of the last three words before the
+    match is a negator; the fold carries these three words along."""
+    n = F.size(hits)
+    runs = lambda x: F.size(F.regexp_extract_all(x, F.lit(r"(?U)\S+"), F.lit(0)))
+    begins, ends = (lambda x: x.rlike(r"(?U)^\S")), (lambda x: x.rlike(r"(?U)\S\z"))
+    follows = F.zip_with(F.slice(gaps, 2, n), F.slice(hits, 2, n), lambda g, h: F.when(g != "", g).otherwise(F.coalesce(h, F.lit(""))))
+    both = F.zip_with(F.slice(gaps, 1, n), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+    pieces = F.zip_with(both, follows, lambda x, after: F.struct(
+        F.lower(x["g"]).alias("gap"), F.lower(x["h"]).alias("hit"), F.length(x["g"]).alias("n_gap"), F.length(x["h"]).alias("n_hit"),
+        runs(x["g"]).alias("gap_runs"), runs(x["h"]).alias("hit_runs"), begins(x["g"]).alias("gap_begins"), ends(x["g"]).alias("gap_ends"),
+        begins(x["h"]).alias("hit_begins"), ends(x["h"]).alias("hit_ends"), begins(after).alias("goes_on"),
+    ))
+    one = lambda on: F.when(on, 1).otherwise(0)
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("words"), F.lit(False).alias("open"), F.lit("").alias("tail"),
+        F.array().cast("array<struct<s:int,e:int,ws:int,we:int,negated:boolean>>").alias("out"),
+    )
+
+    def step(acc: Column, z: Column) -> Column:
+        s = acc["at"] + z["n_gap"]
+        ws = acc["words"] + z["gap_runs"] - one(acc["open"] & z["gap_begins"])
+        is_open = F.when(z["n_gap"] == 0, acc["open"]).otherwise(z["gap_ends"])
+        words = ws + z["hit_runs"] - one(is_open & z["hit_begins"])
+        last = lambda x: F.slice(F.reverse(F.regexp_extract_all(x, F.lit(r"(?U)\w+"), F.lit(0))), 1, 3)
+
+        def found(x: Column) -> Column:
+            span = F.struct(
+                s.alias("s"), (s + z["n_hit"]).alias("e"), ws.alias("ws"), (words - one(z["hit_ends"] & z["goes_on"])).alias("we"),
+                F.arrays_overlap(x["last"], F.array(*map(F.lit, P.NEGATORS))).alias("negated"),
+            )
+            tail = F.concat(F.array_join(F.reverse(x["last"]), " "), F.when(x["part"], "").otherwise(" "), z["hit"])
+            return F.struct(
+                (s + z["n_hit"]).alias("at"), words.alias("words"), F.when(z["n_hit"] == 0, is_open).otherwise(z["hit_ends"]).alias("open"),
+                tail.alias("tail"), F.array_append(acc["out"], span).alias("out"),
+            )
+
+        before = _let(F.concat(acc["tail"], z["gap"]), lambda x: F.struct(last(x).alias("last"), x.rlike(r"(?U)\w\z").alias("part")))
+        return _let(before, found)
+
+    return F.aggregate(pieces, start, step)["out"]
+
+
+def words_apart(a: Column, b: Column) -> Column:
+    """`words_between` of two marked spans of one text."""
+    return F.when(b["s"] > a["e"], b["ws"] - a["we"]).when(a["s"] > b["e"], a["ws"] - b["we"]).otherwise(0)
 
 
 def sentences(c: Column) -> Column:

@@ -63,18 +63,21 @@ def _overlap(a: Column, b: Column) -> Column:
 
 
 def with_spans(df: DataFrame, rules: list[ToneRule], text: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """Adds the spans of each distinct pattern, found once however many rules share it; of moves those that aren't negated, and for each subject
-    the spans of all others. The names of the new columns are returned by what they hold."""
+    """Adds the marked spans of each distinct pattern, found once however many rules share it; of moves those that aren't negated, and for
+    each subject the spans of all others. The names of the new columns are returned by what they hold."""
     subjects, moves = (list(dict.fromkeys(getattr(r, k) for r in rules if getattr(r, k))) for k in ("subject", "move"))
-    names = {f"{k}:{p}": f"__{k}{i}" for k, own in (("subject", subjects), ("all", moves)) for i, p in enumerate(own)}
-    df = materialise(df, {n: T.spans(F.col(text), "(?iU)" + k.partition(":")[2]) for k, n in names.items()})
-    later = {}
+    patterns = list(dict.fromkeys([*subjects, *moves]))
+    df = materialise(df, {f"__raw{i}": T.gaps_and_hits(F.col(text), "(?iU)" + p) for i, p in enumerate(patterns)})
+    df = materialise(df, {f"__span{i}": T.marked_spans(F.col(f"__raw{i}.gaps"), F.col(f"__raw{i}.hits")) for i in range(len(patterns))})
+    df = df.drop(*(f"__raw{i}" for i in range(len(patterns))))
+    span = {p: f"__span{i}" for i, p in enumerate(patterns)}
+    names, later = {f"all:{p}": c for p, c in span.items()} | {f"subject:{p}": span[p] for p in subjects}, {}
     for i, p in enumerate(moves):
-        later[f"__move{i}"] = F.filter(F.col(names[f"all:{p}"]), lambda m: ~T.negated(F.col(text), m["s"]))
+        later[f"__move{i}"] = F.filter(span[p], lambda m: ~m["negated"])
         names[f"move:{p}"] = f"__move{i}"
     for i, p in enumerate(subjects):
-        rest = [F.col(names[f"subject:{q}"]) for q in subjects if q != p]
-        later[f"__other{i}"] = F.concat(*rest) if rest else F.array().cast("array<struct<s:int,e:int>>")
+        rest = [F.col(span[q]) for q in subjects if q != p]
+        later[f"__other{i}"] = F.concat(*rest) if rest else F.slice(span[p], 1, 0)
         names[f"other:{p}"] = f"__other{i}"
     return materialise(df, later), names
 
@@ -89,8 +92,8 @@ def fires(rule: ToneRule, names: dict[str, str], text: Column) -> Column:
         subject, other = F.col(names[f"subject:{rule.subject}"]), F.col(names[f"other:{rule.subject}"])
 
         def pair(s: Column, m: Column) -> Column:
-            d = T.words_between(text, s, m)
-            return (d <= rule.window) & ~F.exists(other, lambda o: ~_overlap(o, s) & (T.words_between(text, o, m) < d))
+            d = T.words_apart(s, m)
+            return (d <= rule.window) & ~F.exists(other, lambda o: (T.words_apart(o, m) < d) & ~_overlap(o, s))
 
         hit = (F.size(subject) > 0) & (F.size(moves) > 0) & F.exists(subject, lambda s: F.exists(moves, lambda m: pair(s, m)))
     if rule.require:

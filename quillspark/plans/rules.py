@@ -9,7 +9,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import rules as E
 from ..operators import segment as S
-from ..tables import table
+from ..tables import dealt, table
 from .base import query
 from .texts import SENTENCE_SQL
 
@@ -24,7 +24,7 @@ TOPIC = [E.TopicRule("policy", "bleer", 3), E.TopicRule("global", "thsh", 4), E.
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     hint = F.when(F.col("doc_id") % 5 == 0, "inflation").when(F.col("doc_id") % 5 == 1, "growth").when(F.col("doc_id") % 5 == 2, "admin").otherwise("")
-    return S.plain_sentences(table(spark, d, "documents")).withColumn("section_hint", hint)
+    return S.plain_sentences(dealt(table(spark, d, "documents"), "doc_id")).withColumn("section_hint", hint)
 
 
 KEYED = f"(select s.*, printf('%s-%03d', cast(doc_id as varchar), position) as sentence_id, case doc_id % 5 when 0 then 'inflation' when 1 then 'growth' when 2 then 'admin' else '' end as hint from ({SENTENCE_SQL}) s)"
@@ -36,24 +36,49 @@ def _spans(p: str) -> str:
     return f"list_transform(range(1, len({m}) + 1), lambda i: {{'s': {start}, 'e': {start} + length({m}[i])}})"
 
 
-NEGATED = "len(list_intersect(list_reverse(regexp_extract_all(lower(left(text, {m}.s)), '[\\p{{L}}\\p{{N}}_]+'))[1:3], ['" + "', '".join(P.NEGATORS) + "'])) > 0"
-BETWEEN = r"(case when {b}.s >= {a}.e then len(list_filter(string_split_regex(substring(text, {a}.e + 1, {b}.s - {a}.e), '\s+'), lambda w: w <> '')) when {a}.s >= {b}.e then len(list_filter(string_split_regex(substring(text, {b}.e + 1, {a}.s - {b}.e), '\s+'), lambda w: w <> '')) else 0 end)"
+def _negated(s: str) -> str:
+    """Whether one of the last three words before place `s` is a negator: words are read from the place backwards."""
+    w, other = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    last = f"regexp_extract_all(regexp_extract(reverse(lower(left(text, {s}))), '^{other}*{w}+({other}+{w}+){{0,2}}'), '{w}+')"
+    return f"len(list_intersect({last}, ['" + "', '".join(x[::-1] for x in P.NEGATORS) + "'])) > 0"
 
 
-def _fires(move: str, subject: str, other: str, window: int, require: str = "") -> str:
-    moves = move.replace("sp_", "mv_")
+N_WORDS = r"len(list_filter(string_split_regex({x}, '\s+'), lambda w: w <> ''))"
+BETWEEN = "(case when {b}.s >= {a}.e then " + N_WORDS.format(x="substring(text, {a}.e + 1, {b}.s - {a}.e)") + " when {a}.s >= {b}.e then " + N_WORDS.format(x="substring(text, {b}.e + 1, {a}.s - {b}.e)") + " else 0 end)"
+PATTERNS = ("that", "que", "ingst", "onth", "tion", "ment")
+#: Gaps and hits of each pattern as rows; places and word numbers are running sums over them.
+PIECES = "(" + " union all ".join(
+    f"select sentence_id, text, '{p}' as pat, unnest(range(1, len(h) + 1)) as i, g[i] as gap, h[i] as hit, coalesce(nullif(g[i + 1], ''), h[i + 1], '') as nxt from "
+    f"(select sentence_id, text, string_split_regex(text, '(?i){p}') as g, regexp_extract_all(text, '(?i){p}') as h from {KEYED} where regexp_matches(text, '(?i){p}'))" for p in PATTERNS
+) + ")"
+BEGINS, ENDS = r"regexp_matches({x}, '^\S')", r"regexp_matches({x}, '\S\z')"
+BEFORE_HIT = "coalesce(nullif(gap, ''), before)"
+COUNTED = f"""(select *, {N_WORDS.format(x='gap')} - (coalesce({ENDS.format(x='before')}, false) and {BEGINS.format(x='gap')})::int as gw,
+{N_WORDS.format(x='hit')} - (coalesce({ENDS.format(x=BEFORE_HIT)}, false) and {BEGINS.format(x='hit')})::int as hw
+from (select *, lag(hit) over (partition by sentence_id, pat order by i) as before from {PIECES})
+)"""
+PLACED = f"""(select sentence_id, text, pat, length(hit) as n, sum(length(gap) + length(hit)) over w as e, sum(gw + hw) over w as we,
+hw, ({ENDS.format(x='hit')} and {BEGINS.format(x='nxt')})::int as goes_on from {COUNTED} window w as (partition by sentence_id, pat order by i))"""
+SPANS = f"""(select sentence_id, pat, cast(e - n as int) as s, cast(e as int) as e, we - hw as ws, we - goes_on as we,
+pat in ('that', 'que', 'ingst', 'onth') and {_negated('cast(e - n as int)')} as negated from {PLACED})"""
+
+
+def _apart(a: str, b: str) -> str:
+    return f"(case when {b}.s > {a}.e then {b}.ws - {a}.we when {a}.s > {b}.e then {a}.ws - {b}.we else 0 end)"
+
+
+def _fires(rule: str, move: str, subject: str, other: str, window: int) -> str:
     if not subject:
-        return f"len({moves}) > 0"
-    near = f"len(list_filter({other}, lambda o: not (o.s < s.e and s.s < o.e) and {BETWEEN.format(a='o', b='m')} < {BETWEEN.format(a='s', b='m')})) = 0"
-    hit = f"len(list_filter({subject}, lambda s: len(list_filter({moves}, lambda m: {BETWEEN.format(a='s', b='m')} <= {window} and {near})) > 0)) > 0"
-    return f"(regexp_matches(text, '(?i){require}') and {hit})" if require else hit
+        return f"select distinct sentence_id, '{rule}' as rule from sp where pat = '{move}' and not negated"
+    return f"""select distinct s.sentence_id, '{rule}' as rule from sp s join sp m on m.sentence_id = s.sentence_id and s.pat = '{subject}' and m.pat = '{move}' and not m.negated and {_apart('s', 'm')} <= {window}
+where not exists (select 1 from sp o where o.sentence_id = s.sentence_id and o.pat = '{other}' and not (o.s < s.e and s.s < o.e) and {_apart('o', 'm')} < {_apart('s', 'm')})"""
 
 
-RAW_SPANS = f"(select *, {', '.join(f'{_spans(p)} as sp_{p}' for p in ('that', 'que', 'ingst', 'onth', 'tion', 'ment'))} from {KEYED})"
-NOT_NEGATED = "list_filter(sp_{p}, lambda m: not (" + NEGATED.format(m="m") + "))"
-SPANNED = f"(select *, {', '.join(NOT_NEGATED.replace('{p}', p) + f' as mv_{p}' for p in ('that', 'que', 'ingst', 'onth'))} from {RAW_SPANS})"
-FIRED = f"""(select *, {_fires('sp_that', 'sp_tion', 'sp_ment', 3)} as a1, {_fires('sp_que', 'sp_ment', 'sp_tion', 2)} as a2, {_fires('sp_ingst', '', '', 0)} as a3,
-{_fires('sp_onth', 'sp_tion', 'sp_ment', 5, 'and')} as a4 from {SPANNED})"""
+FIRED = f"""(with sp as materialized (select * from {SPANS}),
+hits as ({_fires('a1', 'that', 'tion', 'ment', 3)} union all {_fires('a2', 'que', 'ment', 'tion', 2)} union all {_fires('a3', 'ingst', '', '', 0)} union all {_fires('a4', 'onth', 'tion', 'ment', 5)}),
+f as (select sentence_id, list(rule) as rules from hits group by 1)
+select k.*, coalesce(list_contains(rules, 'a1'), false) as a1, coalesce(list_contains(rules, 'a2'), false) as a2, coalesce(list_contains(rules, 'a3'), false) as a3,
+coalesce(list_contains(rules, 'a4'), false) and regexp_matches(text, '(?i)and') as a4 from {KEYED} k left join f using (sentence_id))"""
 SCORED = f"(select *, a1::int + a3::int - a2::int - a4::int as tone_score from {FIRED})"
 LABELLABLE = r"not (regexp_matches(text, '^\p{Ll}') or len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) < 5 or len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) > 80 or hint = 'admin')"
 TONE_OF = "case when tone_score > 0 then 'hawkish' when tone_score < 0 then 'dovish' else 'neutral' end"
@@ -65,17 +90,24 @@ def match_spans(spark, d):
     return x.select("sentence_id", T.spans(F.col("text"), "(?iU)tion").alias("spans"))
 
 
-@query(f"select sentence_id, list_transform({_spans('de')}, lambda m: {NEGATED.format(m='m')}) as negated from {KEYED} where regexp_matches(text, '(?i)de')")
+@query(f"select sentence_id, list_transform({_spans('de')}, lambda m: {_negated('m.s')}) as negated from {KEYED} where regexp_matches(text, '(?i)de')")
 def negation(spark, d):
     x = sentences(spark, d).where(F.col("text").rlike("(?iU)de"))
-    return x.select("sentence_id", F.transform(T.spans(F.col("text"), "(?iU)de"), lambda m: T.negated(F.col("text"), m["s"])).alias("negated"))
+    x = E.materialise(x, {"found": T.gaps_and_hits(F.col("text"), "(?iU)de")})
+    return x.select("sentence_id", F.transform(T.marked_spans(F.col("found.gaps"), F.col("found.hits")), lambda m: m["negated"]).alias("negated"))
+
+
+def _first(p: str) -> str:
+    s = f"length(string_split_regex(text, '(?i){p}')[1])"
+    return f"{{'s': {s}, 'e': {s} + length(regexp_extract(text, '(?i){p}'))}}"
 
 
-@query(f"select sentence_id, {BETWEEN.format(a='a', b='b')} as words from (select *, sp_tion[1] as a, sp_that[1] as b from {SPANNED} where len(sp_tion) > 0 and len(sp_that) > 0)")
+@query(f"select sentence_id, {BETWEEN.format(a='a', b='b')} as words from (select *, {_first('tion')} as a, {_first('that')} as b from {KEYED} where regexp_matches(text, '(?i)tion') and regexp_matches(text, '(?i)that'))")
 def words_between(spark, d):
     x = sentences(spark, d).where(F.col("text").rlike("(?iU)tion") & F.col("text").rlike("(?iU)that"))
-    first = lambda p: F.get(T.spans(F.col("text"), "(?iU)" + p), 0)
-    return x.withColumns({"a": first("tion"), "b": first("that")}).select("sentence_id", T.words_between(F.col("text"), F.col("a"), F.col("b")).cast("long").alias("words"))
+    x = E.materialise(x, {p: T.gaps_and_hits(F.col("text"), "(?iU)" + p) for p in ("tion", "that")})
+    x = E.materialise(x, {n: F.get(T.marked_spans(F.col(f"{p}.gaps"), F.col(f"{p}.hits")), 0) for n, p in (("a", "tion"), ("b", "that"))})
+    return x.select("sentence_id", T.words_apart(F.col("a"), F.col("b")).cast("long").alias("words"))
 
 
 @query(f"select rule, count(*) as n from (select unnest(list_filter([case when regexp_matches(text, '(?i)that') then 'A1' end, case when regexp_matches(text, '(?i)que') then 'A2' end, case when regexp_matches(text, '(?i)ingst') then 'A3' end, case when regexp_matches(text, '(?i)onth') then 'A4' end], lambda x: x is not null)) as rule from {KEYED}) group by 1")
@@ -88,7 +120,7 @@ def rule_cross_join(spark, d):
 @query(f"select sentence_id, a1, a2, a3, a4 from {FIRED} where a1 or a2 or a3 or a4")
 def rule_fires(spark, d):
     x, names = E.with_spans(sentences(spark, d), TONE)
-    x = x.withColumns({r.rule_id.lower(): E.fires(r, names, F.col("text")) for r in TONE})
+    x = E.materialise(x, {r.rule_id.lower(): E.fires(r, names, F.col("text")) for r in TONE})
     return x.where("a1 or a2 or a3 or a4").select("sentence_id", "a1", "a2", "a3", "a4")
 
 

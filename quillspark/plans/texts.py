@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import relational as R
 from ..operators import segment as S
 from ..sources.rest import fetch_status as with_fetch_status
-from ..tables import table
+from ..tables import dealt, table
 from .base import query
 
 WS = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -22,20 +22,24 @@ SENTENCES = rf"""list_filter(list_transform(flatten(list_transform(string_split_
 SENTENCE_SQL = "select doc_id, u.i as position, u.s as text from (select doc_id, unnest(list_transform(" + SENTENCES.replace("{t}", "text").replace("{{", "{").replace("}}", "}") + ", lambda s, i: {'s': s, 'i': i})) as u from documents)"
 
 
+def documents(spark, d):
+    return dealt(table(spark, d, "documents"), "doc_id")
+
+
 @query(f"select doc_id, {WS.format('text')} as text from documents")
 def ws_normalise(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.ws_normalise(F.col("text")).alias("text"))
+    return documents(spark, d).select("doc_id", T.ws_normalise(F.col("text")).alias("text"))
 
 
 @query("select doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as text from documents")
 def text_normal_form(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.normal_form(F.col("text")).alias("text"))
+    return documents(spark, d).select("doc_id", T.normal_form(F.col("text")).alias("text"))
 
 
 @query(f"select doc_id, left(sha256({WS.format('text')}), 12) as hash, left({WS.format('text')}, 120) as opening from documents")
 def text_hash(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", T.text_hash(t).alias("hash"), F.substring(T.ws_normalise(t), 1, 120).alias("opening"))
+    return documents(spark, d).select("doc_id", T.text_hash(t).alias("hash"), F.substring(T.ws_normalise(t), 1, 120).alias("opening"))
 
 
 @query("""select page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&ndash;', '–'), '&#8211;', '–'), '&#8217;', '’'), '&amp;', '&') as html from pages""")
@@ -76,7 +80,7 @@ def incremental_upsert(spark, d):
 
 @query(SENTENCE_SQL)
 def sentence_split(spark, d):
-    return S.plain_sentences(table(spark, d, "documents")).select("doc_id", F.col("position").cast("long").alias("position"), "text")
+    return S.plain_sentences(documents(spark, d)).select("doc_id", F.col("position").cast("long").alias("position"), "text")
 
 
 SHORT = WS.format("text")
@@ -88,13 +92,13 @@ for _w in P.SHORT_ABBREVIATIONS:
 replace(string_split(regexp_replace({SHORT}, '([.!?])\s+([A-Z\[("“])', '\1' || chr(1) || '\2', 'g'), chr(1))[1], '<DOT>', '.') as first from documents""")
 def sentence_split_simple(spark, d):
     s = T.sentences_simple(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.get(s, 0).alias("first"))
+    return documents(spark, d).select("doc_id", F.size(s).cast("long").alias("n"), F.get(s, 0).alias("first"))
 
 
 @query()
 def statement_sentences(spark, d):
     """The whole statement pipeline over documents; tests check it on texts with letterheads and headings."""
-    return S.sentence_rows(table(spark, d, "documents"))
+    return S.sentence_rows(documents(spark, d))
 
 
 @query("""select doc_id, not (regexp_matches(text, '\\b(?:Fed|ECB|SARB|CBN|FOMC)\\b') and not contains(lower(text), 'committee')) and (regexp_matches(text, '(?i)\\bdecid\\w*\\s+to\\s+(?:\\w+\\s+){0,3}(?:the\\s+|its\\s+)?rate\\b')
@@ -103,13 +107,13 @@ from (select doc_id, left(text, 200) || case doc_id % 4 when 0 then ' Committee
 def decision_flag(spark, d):
     k = F.col("doc_id") % 4
     tail = F.when(k == 0, " Committee kept the policy rate; decision.").when(k == 1, " decided to keep the rate").when(k == 2, " The Fed decided to cut the rate").otherwise("")
-    x = table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), tail).alias("text"))
+    x = documents(spark, d).select("doc_id", F.concat(F.substring("text", 1, 200), tail).alias("text"))
     return x.select("doc_id", T.is_decision(F.col("text")).alias("flag"))
 
 
 @query("select doc_id, not regexp_matches(text, '[.?!:;,]$') as open_end from documents")
 def no_closing_punct(spark, d):
-    return table(spark, d, "documents").select("doc_id", (~F.col("text").rlike(r"[.?!:;,]\z")).alias("open_end"))
+    return documents(spark, d).select("doc_id", (~F.col("text").rlike(r"[.?!:;,]\z")).alias("open_end"))
 
 
 @query("select o_orderkey, contains(printf('%.2f', o_totalprice), '7.5') as hit from orders")
@@ -122,7 +126,7 @@ def format_match(spark, d):
 @query("""with f as (select source, min(doc_id) as first_id from documents group by 1), p as (select f.source, d.text as t, length(d.text) as n from f join documents d on d.doc_id = f.first_id)
 select d.doc_id, md5(d.text) = md5(p.t) or abs(length(d.text) - p.n) / greatest(length(d.text), p.n) <= 0.02 as same from documents d join p using (source)""")
 def near_identical(spark, d):
-    x = table(spark, d, "documents").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("h"), F.length("text").alias("n"))
+    x = documents(spark, d).select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("h"), F.length("text").alias("n"))
     first = x.groupBy("source").agg(F.min_by(F.struct("h", "n"), "doc_id").alias("f"))
     return x.join(first, "source").select("doc_id", T.near_identical(F.col("h"), F.col("n"), F.col("f.h"), F.col("f.n")).alias("same"))
 
@@ -196,14 +200,14 @@ def extract_level(spark, d):
 def strip_prefix_block(spark, d):
     t = F.substring("text", 1, 50)
     head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("B O G\nPRESS RELEASE May 5, 2020 "), t)).otherwise(t)
-    return table(spark, d, "documents").select("doc_id", S.strip_letterhead(head).alias("text"))
+    return documents(spark, d).select("doc_id", S.strip_letterhead(head).alias("text"))
 
 
 LINES = "(select doc_id, u.i as pos, trim(u.l, E' \\t\\n\\r\\x0b\\f') as line from (select doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'l': x, 'i': i - 1})) as u from documents))"
 
 
 def doc_lines(spark, d):
-    return S.lines_of(table(spark, d, "documents"))
+    return S.lines_of(documents(spark, d))
 
 
 @query(rf"""select doc_id, count(*) as n from (select *, list_filter(string_split_regex(line, '\s+'), lambda x: x <> '') as t from {LINES})
@@ -238,27 +242,27 @@ def paragraph_ids(spark, d):
 @query("select doc_id, regexp_replace(replace(replace(text, chr(10), chr(1)), '.' || chr(1), '-' || chr(1)), '-' || chr(1), '-', 'g') as text from documents")
 def dehyphenate(spark, d):
     joined = F.replace(F.replace("text", F.lit("\n"), F.lit("\u0001")), F.lit(".\u0001"), F.lit("-\u0001"))
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace(joined, "-\u0001", "-").alias("text"))
+    return documents(spark, d).select("doc_id", F.regexp_replace(joined, "-\u0001", "-").alias("text"))
 
 
 @query("select doc_id, left(text, 40) as text from documents where regexp_matches(text, '^[A-Za-z]')")
 def strip_bullets(spark, d):
     mark = F.get(F.array(*map(F.lit, ("1. ", "(12) ", "• ", "(cid:3) "))), (F.col("doc_id") % 4).cast("int"))
     x = F.regexp_replace(F.regexp_replace(F.concat(mark, F.substring("text", 1, 40)), P.NUMBERED, ""), P.BULLET, "")
-    return table(spark, d, "documents").where(F.col("text").rlike("^[A-Za-z]")).select("doc_id", x.alias("text"))
+    return documents(spark, d).where(F.col("text").rlike("^[A-Za-z]")).select("doc_id", x.alias("text"))
 
 
 # ---- the same operators on whole texts of all documents, as they are ----
 @query()
 def decision_flag_whole(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.is_decision(F.col("text")).alias("flag"))
+    return documents(spark, d).select("doc_id", T.is_decision(F.col("text")).alias("flag"))
 
 
 @query()
 def strip_prefix_block_whole(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.strip_letterhead(F.col("text")).alias("text"))
+    return documents(spark, d).select("doc_id", S.strip_letterhead(F.col("text")).alias("text"))
 
 
 @query()
 def strip_bullets_whole(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", P.NUMBERED, ""), P.BULLET, "").alias("text"))
+    return documents(spark, d).select("doc_id", F.regexp_replace(F.regexp_replace("text", P.NUMBERED, ""), P.BULLET, "").alias("text"))
