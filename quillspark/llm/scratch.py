@@ -2,31 +2,57 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where none is set (tests), a new local one is set."""
+    """The folder named in spark.checkpoint.dir, or by setCheckpointDir. Without one there is no place that all executors see, which is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="quillspark-")
-        spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        # One process: driver and executor see the same disk.
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, with underscores behind until no column has it (letters' case doesn't tell names apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 class Scratch:
-    """Writes tables as Parquet in the shared folder and reads them again, which cuts their lineage."""
+    """Writes tables as Parquet in the shared folder and reads them again, which cuts their lineage. Holds broadcasts to be freed with them."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
+        self.shared: list[Broadcast] = []
+
+    def share(self, value) -> Broadcast:
+        """A broadcast that `free` ends."""
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
+    def free(self) -> None:
+        """Ends the broadcasts made so far: only after all that reads them has been written."""
+        for b in self.shared:
+            b.destroy()
+        self.shared.clear()
+        gc.collect()
 
     def keep(self, df: DataFrame) -> DataFrame:
         """The written table. While it is written, Arrow batches are small, which bounds the memory of Python workers and of their buffers."""

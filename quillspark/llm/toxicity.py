@@ -1,8 +1,11 @@
 """Toxicity by non-negative positive-unlabelled learning: a linear numpy model over hashed words.
 
-The positives are confirmed toxic texts, the rest counts as unlabelled, never as clean. With the class prior p, the risk
-is p R+(positives) + max(0, R-(unlabelled) - p R-(positives)): the second part estimates the risk on clean texts and is
-kept from turning negative, which would be overfitting; where it does, its gradient is followed back instead.
+The positives are confirmed toxic texts. The unlabelled set is a sample of all texts that aren't confirmed, whether someone called them clean
+or nobody looked; none counts as clean. With p, the share of toxic texts among the unlabelled, the risk is
+p R+(positives) + max(0, R-(unlabelled) - p R-(positives)): the second part estimates the risk on clean texts and is kept from turning
+negative, which would be overfitting; where it does, its gradient is followed back instead. The decision threshold has the least
+non-negative risk of the same form with the zero-one loss. Only words that are more frequent in positives than in the unlabelled set
+(`selected`) have weights. That a row was labelled clean enters in one number alone, p.
 """
 
 from __future__ import annotations
@@ -13,16 +16,15 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .scratch import Scratch
+from .scratch import Scratch, free_name
 from .textnum import NOT_ALNUM, chunks, words
 
 BITS = 20
-#: Bounds of the training sample; rows are taken in the order of a hash of their id.
-MOST_POSITIVE, MOST_UNLABELLED = 4000, 12000
 #: A feature counts if it is found in so many of the sample's texts, and so many standard deviations more often in positive ones.
 LEAST_TEXTS, LEAST_Z = 5, 4.0
 
@@ -45,18 +47,6 @@ def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch["toxic"].slice(a, b - a), lists], ["toxic", "f"])
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of the task's texts hold each feature: positive ones, others."""
-    found = np.zeros((2, 1 << BITS), np.int32)
-    for batch in batches:
-        sizes = np.asarray(pc.list_value_length(batch["f"]))
-        positive = np.repeat(np.asarray(batch["toxic"]) > 0, sizes)
-        flat = np.asarray(batch["f"].flatten())
-        found += [np.bincount(flat[side], minlength=1 << BITS).astype(np.int32) for side in (positive, ~positive)]
-    used = np.flatnonzero(found.any(0))
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(x[used].astype(np.int64)) for x in found)], ["feature", "p", "u"])
-
-
 def _only(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Rows with the selected features of their texts alone."""
     chosen = np.zeros(1 << BITS, bool)
@@ -77,16 +67,47 @@ def selected(positive: np.ndarray, unlabelled: np.ndarray, n: int, m: int) -> np
     return (positive + unlabelled >= LEAST_TEXTS) & (z >= LEAST_Z)
 
 
+def pu_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(p R+, R- on the unlabelled less p R- on the positives, step for zp, step for zu) with the logistic loss at logits of positives and unlabelled.
+    The steps are the gradient of the sum, or where the second part is negative, of that part with its sign turned."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    positive, negative = prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    if negative >= 0:
+        return positive, negative, prior * (-sigmoid(-zp) - sigmoid(zp)) / len(zp), sigmoid(zu) / len(zu)
+    return positive, negative, prior * sigmoid(zp) / len(zp), -sigmoid(zu) / len(zu)
+
+
+def threshold(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
+    """The logit between two neighbouring ones at which the non-negative PU risk of the zero-one loss is least: p FNR + max(0, share of the
+    unlabelled above - p TPR). Of equal ones that in the widest gap, then the highest."""
+    values = np.unique(np.concatenate((zp, zu)))
+    gaps = np.append(np.diff(values), 2.0)
+    cuts = values + gaps / 2
+    miss = np.searchsorted(np.sort(zp), cuts) / len(zp)
+    above = 1 - np.searchsorted(np.sort(zu), cuts) / len(zu)
+    risk = prior * miss + np.maximum(0, above - prior * (1 - miss))
+    least = np.flatnonzero(risk <= risk.min() + 1e-12)
+    return float(cuts[least[::-1][np.argmax(gaps[least[::-1]])]])
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 40, rate: float = 0.05, l2: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, weights, bias) of the model of least non-negative PU risk with the logistic loss, by Adam on batches."""
+    """(features, weights, bias) of the model of least non-negative PU risk with the logistic loss, by Adam on batches; 0 is its threshold."""
     df = [np.bincount(np.concatenate([*s, np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << BITS) for s in (positive, unlabelled)]
     used = np.flatnonzero(selected(df[0], df[1], len(positive), len(unlabelled)))
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
 
     def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         kept = [p[p >= 0] for p in (place[r] for r in rows)]
-        return np.concatenate(([0], np.cumsum([len(k) for k in kept]))), np.concatenate([*kept, np.zeros(0, np.int64)]).astype(np.int64)
+        return np.concatenate(([0], np.cumsum([len(k) for k in kept]))).astype(np.int64), np.concatenate([*kept, np.zeros(0, np.int32)])
+
+    def at(rows: tuple[np.ndarray, np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, column) of the features of some rows, and the rows' logits."""
+        first, flat = rows
+        length = first[order + 1] - first[order]
+        places = np.repeat(first[order] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))
+        row, column = np.repeat(np.arange(len(order)), length), flat[places]
+        return row, column, np.bincount(row, weights=theta[column], minlength=len(order)) + theta[-1]
 
     sets = [sparse(positive), sparse(unlabelled)]
     theta = np.zeros(len(used) + 1)
@@ -96,32 +117,20 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     if not all(sizes):
         return used, theta[:-1], -4.0
     batches = max(4, sizes[1] // 1000)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for epoch in range(epochs):
         orders = [np.array_split(rng.permutation(n), batches) for n in sizes]
         for b in range(batches):
-            parts = []
-            for (first, flat), order in zip(sets, orders, strict=True):
-                rows = order[b]
-                length = first[rows + 1] - first[rows]
-                at = np.repeat(first[rows] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))
-                row, column = np.repeat(np.arange(len(rows)), length), flat[at]
-                z = np.bincount(row, weights=theta[column], minlength=len(rows)) + theta[-1]
-                parts.append((row, column, z))
-            (rp, cp, zp), (ru, cu, zu) = parts
+            (rp, cp, zp), (ru, cu, zu) = (at(rows, order[b]) for rows, order in zip(sets, orders, strict=True))
             if not len(zp) or not len(zu):
                 continue
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            if negative >= 0:
-                gp, gu = prior * (-sigmoid(-zp) - sigmoid(zp)) / len(zp), sigmoid(zu) / len(zu)
-            else:
-                gp, gu = prior * sigmoid(zp) / len(zp), -sigmoid(zu) / len(zu)
+            _, _, gp, gu = pu_risk(zp, zu, prior)
             grad = np.append(np.bincount(cp, gp[rp], len(used)) + np.bincount(cu, gu[ru], len(used)), gp.sum() + gu.sum())
             grad[:-1] += l2 * theta[:-1]
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta -= rate / (1 + epoch / 10) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return used, theta[:-1], float(theta[-1])
+    zp, zu = (at(rows, np.arange(n))[2] for rows, n in zip(sets, sizes, strict=True))
+    return used, theta[:-1], float(theta[-1]) - threshold(zp, zu, prior)
 
 
 def logits(model: tuple[np.ndarray, np.ndarray, float], text: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
@@ -131,75 +140,73 @@ def logits(model: tuple[np.ndarray, np.ndarray, float], text: np.ndarray, featur
     return np.bincount(text, weights=w, minlength=n) + bias
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> dict:
+def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, most_positive: int = 4000, most_unlabelled: int = 24_000) -> dict:
     """The model. docs: doc_id, text; labels: doc_id, toxic. Rows whose crc32(doc_id as text) mod 5 is `held_out`, and rows
-    with null ids, take no part. The prior is the toxic share of the labelled rows, over all of them; the threshold is
-    the logit that gives the best F1 over the sampled labelled rows."""
+    with null ids, take no part.
+
+    At most `most_positive` texts of ids with a label over 0, and `most_unlabelled` of all other ids, both in the order of a hash of the
+    id, are learned from. Of the labelled ids a share q is over 0; if labels are given to ids at random, the ids that nobody labelled hold
+    as large a share, which gives p among all that aren't confirmed. Where all labels are over 0, q is their share of the documents. Of
+    labels that contradict each other the highest counts, null labels don't. Without labels over 0 all scores are those of an empty
+    model (clean)."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     side = F.expr(f"crc32(cast(doc_id as string)) % 5 <> {held_out}")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(side).where("toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
-    prior = min(max(toxic / n if n else 0.0, 1e-3), 0.9)
+    ids = docs.select("doc_id").where(side).distinct()
+    total = max(ids.count(), n, 1)
+    q = toxic / (n if toxic < n else total) if n else 0.0
+    prior = min(max(q * (total - n) / max(total - toxic, 1), 1e-3), 0.9)
     order = F.xxhash64("doc_id", F.lit(17))
-    positive = known.where("toxic > 0").orderBy(order, "doc_id").limit(MOST_POSITIVE)
-    clean = known.where("toxic <= 0").orderBy(order, "doc_id").limit(MOST_UNLABELLED // 3)
-    rest = docs.select("doc_id").where(side).join(known, "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(MOST_UNLABELLED - MOST_UNLABELLED // 3)
-    chosen = positive.union(clean).union(rest.withColumn("toxic", F.lit(-1)))
-    sampled = docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(_featurised, "toxic int, f array<int>")
-    sampled = Scratch(docs.sparkSession, "toxicity").keep(sampled)
+    positive = known.where("toxic > 0").select("doc_id").orderBy(order, "doc_id").limit(most_positive)
+    every = ids.join(known.where("toxic > 0"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(most_unlabelled)
+    chosen = positive.withColumn("toxic", F.lit(1)).union(every.withColumn("toxic", F.lit(0)))
+    # The bounds above bound what is broadcast.
+    sampled = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(_featurised, "toxic int, f array<int>"))
     # Only features that count reach the driver.
-    sizes = {r.positive: r.n for r in sampled.groupBy((F.col("toxic") > 0).alias("positive")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    df = sampled.mapInArrow(_frequencies, "feature int, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    sizes = {r.toxic: r.n for r in sampled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    side_of = lambda k: F.sum((F.col("toxic") == k).cast("long"))
+    df = sampled.select("toxic", F.explode("f").alias("feature")).groupBy("feature").agg(side_of(1).alias("p"), side_of(0).alias("u"))
     df = df.where(f"p + u >= {LEAST_TEXTS} and p > 0").toArrow()
-    counted = selected(np.asarray(df["p"]), np.asarray(df["u"]), sizes.get(True, 0), sizes.get(False, 0))
-    shared = docs.sparkSession.sparkContext.broadcast(np.asarray(df["feature"])[counted])
+    counted = selected(np.asarray(df["p"]), np.asarray(df["u"]), sizes.get(1, 0), sizes.get(0, 0))
+    shared = scratch.share(np.asarray(df["feature"])[counted])
     sampled = sampled.mapInArrow(partial(_only, shared=shared), "toxic int, f array<int>").toArrow()
     kind = np.asarray(sampled["toxic"])
     rows = [np.asarray(x.values) for x in sampled["f"]]
-    pos = [r for r, k in zip(rows, kind, strict=True) if k > 0]
-    used, weight, bias = fit_nnpu(pos, [r for r, k in zip(rows, kind, strict=True) if k <= 0], prior)
-    labelled = [(r, k) for r, k in zip(rows, kind, strict=True) if k >= 0]
-    z = np.array([logits((used, weight, bias), np.zeros(len(r), np.int64), r.astype(np.int64), 1)[0] for r, _ in labelled])
-    truth = np.array([k > 0 for _, k in labelled], bool)
-    threshold = bias + 1.0
-    if truth.any() and not truth.all():
-        scale = np.where(truth, 1.0, max(1.0, (n - toxic) / max(1, int((~truth).sum()))))  # as often as among all labelled rows
-        scale[truth] = max(1.0, toxic / int(truth.sum()))
-        down = np.argsort(-z, kind="stable")
-        hit, miss = np.cumsum(scale[down] * truth[down]), np.cumsum(scale[down] * ~truth[down])
-        f1 = 2 * hit / (hit + miss + (scale * truth).sum())
-        f1[:-1][np.diff(-z[down]) <= 0] = -1
-        k = int(np.argmax(f1))
-        threshold = (z[down][k] + z[down][min(k + 1, len(z) - 1)]) / 2
-    return {"used": used.astype(np.int32), "weight": weight.astype(np.float32), "bias": bias - threshold, "prior": prior}
-
-
-def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    used, weight, bias = fit_nnpu([r for r, k in zip(rows, kind, strict=True) if k], [r for r, k in zip(rows, kind, strict=True) if not k], prior)
+    scratch.free()
+    return {"used": used.astype(np.int32), "weight": weight.astype(np.float32), "bias": bias, "prior": prior}
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model, text: int, columns: list[int], names: list[str]) -> Iterator[pa.RecordBatch]:
     m = model.value
     model_of = m["used"], m["weight"].astype(np.float64), m["bias"]
     for batch in batches:
         parts = []
-        for a, b in chunks(batch["text"]):
-            z = logits(model_of, *features(batch["text"].slice(a, b - a)), b - a)
+        for a, b in chunks(batch[text]):
+            z = logits(model_of, *features(batch[text].slice(a, b - a)), b - a)
             parts.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-        score = np.concatenate([*parts, np.zeros(0)])
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names), pa.array(score)], [*batch.schema.names, "toxicity__score"])
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(np.concatenate([*parts, np.zeros(0)]))], names)
 
 
-def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """`docs` with a column `toxicity__score`, 0 to 1: at 0.5 or more the text is taken for toxic. The only input is the text; a
-    null or empty one, or one without known words, gets the score of the bias. Rows and other columns stay as they are."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    inner = docs if text_col == "text" else docs.withColumnRenamed(text_col, "text")
-    out = inner.mapInArrow(partial(_scored, model=shared), StructType([*inner.schema.fields, StructField("toxicity__score", DoubleType())]))
-    return out if text_col == "text" else out.withColumnRenamed("text", text_col)
+def score(docs: DataFrame, model: Broadcast, text_col: str = "text", score_col: str = "toxicity__score", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `docs` (all, unless named) and `score_col`, 0 to 1: at 0.5 or more the text is taken for toxic. The only input is
+    the text; a null or empty one, or one without known words, gets the score of the bias. Every row is returned, and a column named as
+    `score_col` is replaced. Columns that aren't kept don't come back from the workers. `model` is a broadcast of what `train` returns."""
+    names = [c for c in (docs.columns if keep is None else keep) if c != score_col]
+    inner = docs.select(*names, F.col(text_col).cast("string").alias(free_name(names, "toxicity__text")))
+    schema = StructType([*(docs.schema[c] for c in names), StructField(score_col, DoubleType())])
+    return inner.mapInArrow(partial(_scored, model=model, text=len(names), columns=list(range(len(names))), names=[*names, score_col]), schema)
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of documents. A null id is not held out. Without labels the scores are
     those of an empty model (all clean). No rows give none."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = score(docs, train(docs, labels)).withColumnRenamed("toxicity__score", "score")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    scored = scratch.keep(score(docs, scratch.share(train(docs, labels)), score_col="score", keep=["doc_id"]))
+    scratch.free()
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -190,3 +190,38 @@ def test_pipeline_stages(spark):
     assert {p.doc_id for p in pieces} == {r.doc_id for r in before.collect()} and sum(p.length for p in pieces if p.start == 0) > 0
     whole = {p.doc_id: p.doc_tokens for p in pieces}
     assert sum(p.length for p in pieces) == sum(whole.values())
+
+
+def test_pu_steps_are_gradients():
+    rng = np.random.default_rng(3)
+    for prior, shift in ((0.2, 0.0), (0.6, -4.0)):
+        zp, zu = rng.normal(1, 1, 7), rng.normal(shift, 1, 9)
+        _, negative, gp, gu = toxicity.pu_risk(zp, zu, prior)
+        assert (negative >= 0) == (shift == 0)
+
+        def target(zp, zu):
+            p, n, _, _ = toxicity.pu_risk(zp, zu, prior)  # noqa: B023
+            return p + n if n >= 0 else -n
+
+        for z, g, other in ((zp, gp, lambda x: target(x, zu)), (zu, gu, lambda x: target(zp, x))):  # noqa: B023
+            for i in range(len(z)):
+                up, down = z.copy(), z.copy()
+                up[i] += 1e-5
+                down[i] -= 1e-5
+                assert abs((other(up) - other(down)) / 2e-5 - g[i]) < 1e-6
+
+
+def test_threshold_of_least_risk():
+    zp, zu = np.array([1.0, 2.0, 3.0]), np.concatenate((np.full(80, -1.0), np.full(20, 2.0)))
+    assert -1 < toxicity.threshold(zp, zu, 0.2) <= 1
+    cuts = np.linspace(-3, 5, 801)
+    risk = [0.2 * (zp < c).mean() + max(0, (zu >= c).mean() - 0.2 * (zp >= c).mean()) for c in cuts]
+    at = toxicity.threshold(zp, zu, 0.2)
+    assert abs(0.2 * (zp < at).mean() + max(0, (zu >= at).mean() - 0.2 * (zp >= at).mean()) - min(risk)) < 1e-9
+
+
+def test_toxicity_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y"), (None, None, "x", None), (2, "", "z", "z")], "doc_id long, body string, text string, toxicity__text string")
+    model = spark.sparkContext.broadcast({"used": np.zeros(0, np.int32), "weight": np.zeros(0, np.float32), "bias": 0.0, "prior": 0.1})
+    got = toxicity.score(docs, model, "body", "text").collect()
+    assert [(r.doc_id, r.body, r.toxicity__text, r.text) for r in got] == [(1, "a b", "y", 0.5), (None, None, None, 0.5), (2, "", "z", 0.5)]
