@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontam, linededup, minhash, packing, toxicity
-from quillspark.llm.scratch import Scratch
+from quillspark.llm.scratch import Scratch, free_name
 from quillspark.tables import table
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity score is under 0.5; the model learns from all labelled rows of `docs`."""
+    """Rows whose toxicity score is under 0.5; the model learns from all labelled rows of `docs`. Rows with null ids are scored like any other."""
     model = toxicity.train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), table(spark, sf_dir, "labels"), held_out=-1)
-    return toxicity.score(docs, model).where("toxicity__score < 0.5").select(*docs.columns)
+    score = free_name(docs.columns, "toxicity")
+    return toxicity.score(docs, spark.sparkContext.broadcast(model), score_col=score).where(F.col(score) < 0.5).drop(score)
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
