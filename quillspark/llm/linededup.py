@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, free_name
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A key with more than one of so many lines is frequent, so there are fewer frequent keys than this, which bounds what is broadcast.
+FREQUENT = 1000
 
 
 def line_key(line: Column) -> Column:
@@ -15,30 +17,47 @@ def line_key(line: Column) -> Column:
     return F.translate(F.trim(line, F.lit(" \t\n\x0b\f\r")), UPPER, LOWER)
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """`docs` with `text_col` rewritten, and n_lines and n_dropped added (replacing columns of these names).
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def _without(text: Column, lost: Column) -> Column:
+    """The text without the lines at the places `lost` (from 0); each line and each place is looked at once."""
+    def kept(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+        return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+
+    return F.get(F.transform(F.array(_lines(text)), kept), 0)
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, lines_col: str | None = "n_lines", dropped_col: str | None = "n_dropped") -> DataFrame:
+    """`docs` with `text_col` rewritten, and the numbers of lines before and of lines dropped in `lines_col` and `dropped_col` (replacing columns
+    of these names; None adds none).
 
     Lines whose key has at least `min_chars` code points and is found in at least two documents stay only in the
-    smallest id that holds the key (there all of them stay); other lines stay. Only hashes of keys are shuffled for
-    the counts; a hash's count is a minimum and a maximum of ids, aggregated before the shuffle. The lines to drop then
-    meet their texts once, by id.
+    smallest id that holds the key (there all of them stay); other lines stay. Only hashes of keys are shuffled; how often a hash is found and in
+    which ids is a count, a minimum and a maximum, aggregated before the shuffle. Lines of the few frequent hashes are told by a broadcast, so
+    they don't meet in one task; the others meet by hash. The places to drop then meet their texts once, by id and text.
 
     A null or empty text is one empty line and stays as it is. Rows with a null id count as no document and stay
     whole. Rows that share an id are one document: what is dropped is dropped from each. No rows give none."""
-    lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line")).where("id is not null")
-    keyed = lines.withColumn("line", line_key(F.col("line"))).where(F.length("line") >= min_chars)
-    keyed = Scratch(docs.sparkSession, "linededup").keep(keyed.select("id", F.unhex(F.md5("line")).alias("h")))
-    ends = keyed.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "least")
-    lost = keyed.join(ends, "h").where("id > least").groupBy("id").agg(F.collect_set("h").alias("lost"))
-    out = docs.join(lost.withColumnsRenamed({"id": "__id", "lost": "__lost"}), F.col(id_col) == F.col("__id"), "left")
-    out = out.withColumn("__lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
-    stays = F.filter("__lines", lambda x: ~F.array_contains(F.col("__lost"), F.unhex(F.md5(line_key(x)))) | (F.length(line_key(x)) < min_chars))
-    out = out.withColumn("__kept", F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(stays))
-    text = F.when(F.size("__kept") == F.size("__lines"), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
-    return (
-        out.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", (F.size("__lines") - F.size("__kept")).cast("long"))
-        .withColumn(text_col, text).drop("__lines", "__lost", "__kept", "__id")
-    )
+    scratch = Scratch(docs.sparkSession, "linededup")
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.posexplode(_lines(F.col(text_col))).alias("at", "line"))
+    keyed = own.withColumn("line", line_key(F.col("line"))).where(F.length("line") >= min_chars)
+    keyed = scratch.keep(keyed.select("id", "t", "at", F.unhex(F.md5("line")).alias("h")))
+    ends = keyed.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    often = F.col("n") > keyed.count() / FREQUENT
+    frequent = scratch.keep(ends.where(often).select("h", "least"))
+    met = keyed.join(F.broadcast(frequent), "h").union(
+        keyed.join(F.broadcast(frequent), "h", "left_anti").join(ends.where(~often).select("h", "least"), "h")
+    )
+    lost = met.where("id > least").groupBy("id", "t").agg(F.collect_set("at").alias("lost"))
+    i, t, x = (free_name(docs.columns, n) for n in ("lost_id", "lost_text", "lost"))
+    out = docs.join(lost.withColumnsRenamed({"id": i, "t": t, "lost": x}), (F.col(id_col) == F.col(i)) & (F.xxhash64(text_col) == F.col(t)), "left")
+    counts = {lines_col: F.size(_lines(F.col(text_col))).cast("long"), dropped_col: F.when(F.col(x).isNull(), 0).otherwise(F.size(x)).cast("long")}
+    text = F.when(F.col(x).isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col(x)))
+    kept = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in counts]
+    return out.select(*kept, *(v.alias(c) for c, v in counts.items() if c))
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,9 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pytest
+
+from quillspark.llm import linededup
 from quillspark.llm.linededup import drop_repeated_lines, op10
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -24,7 +27,10 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def test_brute_force(spark):
+@pytest.mark.parametrize("frequent", [1000, 30, 1])
+def test_brute_force(spark, monkeypatch, frequent):
+    """With all repeated keys frequent, some, and none."""
+    monkeypatch.setattr(linededup, "FREQUENT", frequent)
     rng = random.Random(3)
     pool = ["a short", "ÄÖÜ äöü ßßßß", "  A line that REPEATS \t", "a line that repeats", "Ä line that repeats", "", "x" * 10, "y" * 9] + [f"own line {i}" for i in range(60)]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(9)))) for i in range(120)]
@@ -39,5 +45,11 @@ def test_keeps_columns_and_texts(spark):
     assert got == {1: ("The same line ", 0), 2: ("b", 1), 3: (None, 0)}
 
 
+def test_clashing_names_stay(spark):
+    df = spark.createDataFrame([(2, "the same line\nb", 1, 2, 3, 4), (1, "the same line", 5, 6, 7, 8)], "doc_id long, text string, lost int, lost_id int, at int, h int")
+    got = {r.doc_id: tuple(r) for r in drop_repeated_lines(df, lines_col=None, dropped_col=None).collect()}
+    assert got == {1: (1, "the same line", 5, 6, 7, 8), 2: (2, "b", 1, 2, 3, 4)}
+
+
 def test_empty(spark):
     assert op10(spark.createDataFrame([], "doc_id long, text string")).count() == 0
