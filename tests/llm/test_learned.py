@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontam, langid, secrets, toxicity
+from quillspark.llm.scratch import Scratch
 
 LONG = "word " * 50_000
 
@@ -88,22 +89,26 @@ def test_longest_common_subsequence():
         assert index.common(0, text) == lcs(own, text.tolist())
 
 
-def test_latent_space_is_of_all_rows(spark):
-    """Words of one document of 3,300, the last in the order of the hash, and words of one of 4,200 items have places in the space."""
-    import pyarrow as pa
-
-    from quillspark.llm.textnum import words
-
+def test_recall_beyond_the_sample_and_one_block(spark):
+    """4,300 items in two blocks, most of whose words no sampled document holds: planted paraphrases (every ninth word another) are found."""
     rng = random.Random(6)
     common = [f"{a}{b}rn" for a in "bcdfgl" for b in "aeiou"]
-    ids = [r.id for r in spark.range(3300).orderBy(F.xxhash64("id", F.lit(29)), "id").collect()]
-    rare = "quolith vamper zindle orrick tessom"
-    docs = spark.createDataFrame([(i, rare if i == ids[-1] else prose(rng, common, 12)) for i in ids], "doc_id long, text string")
-    texts = [f"{prose(rng, common, 9)} {k}" for k in range(4200)]
-    last = spark.createDataFrame([(t,) for t in texts], "text string").orderBy(F.desc(F.xxhash64("text"))).first()[0]
-    projection = decontam.fit(docs, spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"))[1]
-    for text in (rare, last.split()[-1]):
-        assert (np.linalg.norm(projection[decontam.feature(words(pa.array([text])))], axis=1) > 0).all()
+    own = [f"{a}{b}{c}{d}" for a in "mnpqrs" for b in "aeiou" for c in "bcdfg" for d in ("lt", "nk", "sp")]
+    items = [(k, prose(rng, own if k % 2 else own + common, 24)) for k in range(4300)]
+    rows, want = [], set()
+    for i in range(240):
+        text = prose(rng, common, 120).split()
+        if i % 2:
+            k = rng.randrange(4300)
+            text[60:60] = [w if j % 9 else rng.choice(common) for j, w in enumerate(items[k][1].split())]
+            want.add((i, k))
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scratch = Scratch(spark, "test")
+    found = decontam.leaked(docs, spark.createDataFrame(items, "item_id long, text string"), scratch, sample_texts=20).collect()
+    got = {(r.doc_id, k) for r in found for k in r.leaked_items}
+    assert len(found) == 240 and len(got & want) >= 0.95 * len(want) and len(got - want) <= 2
+    assert [r.text for r in sorted(found, key=lambda r: r.doc_id)] == [t for _, t in rows]
 
 
 def test_decontamination(spark):
