@@ -19,7 +19,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without the lines that repeat across documents; n_chars follows the text."""
-    out = linededup.drop_repeated_lines(docs)
+    out = linededup.drop_repeated_lines(docs, lines_col=None, dropped_col=None)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -33,7 +33,9 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no item of the benchmark."""
-    return decontam.leaked(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaked_items") == 0).select(*docs.columns)
+    found = free_name(docs.columns, "leaked")
+    out = decontam.leaked(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "decontam"), out_col=found)
+    return out.where(F.size(found) == 0).drop(found)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
