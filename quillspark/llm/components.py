@@ -39,3 +39,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(now)
         now = after
     return now.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("component")).union(now.select("y", "y").distinct())
+
+
+def joined(tied: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) after `edges` (x, y) are added to a graph whose components are `tied`, a kept table. Only edges between different
+    components are looked at, as edges of components; where there are none, `tied` is returned."""
+    own = lambda c: tied.select(F.col("node").alias(c), F.col("component").alias(f"{c}_to"))
+    new = edges.join(own("x"), "x", "left").join(own("y"), "y", "left")
+    new = scratch.keep(new.select(F.coalesce("x_to", "x").alias("x"), F.coalesce("y_to", "y").alias("y")).where("x <> y").distinct())
+    if not new.take(1):
+        return tied
+    moved = scratch.keep(components(new, scratch))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    before = tied.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return scratch.keep(before.union(moved.join(tied, "node", "left_anti").select("node", "component")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, joined
 from .scratch import Scratch
 from .textnum import chunks, mix, shingles, words
 
@@ -161,13 +161,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = edges_of(sized).union(edges_of(grouped))
 
     def in_components() -> DataFrame:
-        tied = scratch.keep(components(edges, scratch)).withColumnRenamed("node", "u")
-        return grouped.join(tied, "u", "left").withColumn("component", F.coalesce("component", "u"))
+        return scratch.keep(grouped.join(tied.withColumnRenamed("node", "u"), "u", "left").withColumn("component", F.coalesce("component", "u")))
 
     # Large groups get further hubs, one a round, from their members that no hub so far holds.
-    bars = None
+    tied, bars = scratch.keep(components(edges, scratch)), None
+    state = in_components()
     for _ in range(FURTHER_HUBS):
-        state = scratch.keep(in_components())
         large = state.groupBy("a").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("c1"), F.max("component").alias("c2")).where(f"rows > {LARGE_GROUP} and c1 < c2").select("a")
         free = state.where("not linked").join(large, "a")
         if bars is not None:
@@ -176,12 +175,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not bars.take(1):
             break
         pairs = state.join(bars, "a").where("component <> own").select(F.col("bar.u").alias("a"), "u", "m").dropDuplicates(["a", "u"])
-        edges = edges.union(edges_of(compared(pairs)))
-        bars = bars.select("a", "bar")
+        tied = joined(tied, edges_of(compared(pairs)), scratch)
+        state, bars = in_components(), bars.select("a", "bar")
 
     # Pairs that are still open: d is |D(u)|; two linked sets differ in at most cut * (sum of their sizes) elements.
     cut, far = (100 - percent) / (100 + percent), 2 * (100 - percent)
-    state = scratch.keep(in_components()).withColumn("d", F.expr("na + nu - 2 * i"))
+    state = state.withColumn("d", F.expr("na + nu - 2 * i"))
     state = state.withColumn("ring", F.expr(f"not linked and 100 * i >= {100 - far} * (na + nu - i)")).withColumn("odd", ~F.col("linked"))
     groups = state.groupBy("a").agg(
         *(F.sum(F.col(c).cast("long")).alias(f"{c}s") for c in ("ring", "linked", "odd")), F.min("component").alias("c1"), F.max("component").alias("c2")
@@ -206,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = met.select(F.col("l.u").alias("x"), F.col("r.u").alias("y")).distinct()
     more = with_sets(met, "x", "y").where(share * 100 >= percent * (F.size("hx") + F.size("hy") - share)).select("x", "y")
 
-    tied = components(edges.union(more), scratch)
+    tied = joined(tied, more, scratch)
     least = nodes.select("node", "rep").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = least.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = least.join(named, "component").select("node", F.col("component_id").alias("found"))

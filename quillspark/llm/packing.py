@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textnum import Words, chunks, words
+from .textnum import Words, WordTable, chunks, words
 
 WINDOW, END = 4096, 2
 #: Places of the table of words already met; it is emptied when half full.
@@ -39,45 +39,6 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTable:
-    """Word hashes in an open-addressed numpy table: whole arrays are looked up and added at once."""
-
-    def __init__(self, bits: int):
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.key = np.zeros(1 << bits, np.uint64)  # 0 is free
-        self.count = 0
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The place of each hash, -1 for those not held."""
-        place = (h >> self.shift).astype(np.int64)
-        held = self.key[place]
-        open_ = np.flatnonzero((held != h) & (held != 0))
-        out = np.where(held == h, place, -1)
-        at = place[open_]
-        while len(open_):
-            at = (at + 1) & self.mask
-            held = self.key[at]
-            hit = held == h[open_]
-            out[open_[hit]] = at[hit]
-            on = ~hit & (held != 0)
-            open_, at = open_[on], at[on]
-        return out
-
-    def add(self, h: np.ndarray) -> np.ndarray:
-        """Places for distinct hashes that aren't held."""
-        place = (h >> self.shift).astype(np.int64)
-        open_ = np.arange(len(h))
-        while len(open_):
-            at = place[open_]
-            free = self.key[at] == 0
-            self.key[at[free]] = h[open_[free]]  # of several at one place, one stays
-            lost = open_[self.key[at] != h[open_]]
-            place[lost] = (place[lost] + 1) & self.mask
-            open_ = lost
-        self.count += len(h)
-        return place
-
-
 class Encoder:
     """Ids of texts. The tokenizer drops white space, so a text's ids are its words' ids in turn; words already met are
     looked up. The table is emptied when half full, which changes no ids."""
@@ -96,10 +57,7 @@ class Encoder:
 
     def _learn(self, w: Words, rows: np.ndarray, hashes: np.ndarray) -> None:
         """Tokenises the words in `rows`, whose hashes are distinct and new."""
-        size = w.end[rows] - w.start[rows]
-        ends = np.cumsum(size)
-        raw = w.data[np.arange(int(size.sum())) + np.repeat(w.start[rows] - (ends - size), size)]
-        strings = pa.Array.from_buffers(pa.large_string(), len(rows), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(raw)]).to_pylist()
+        strings = w.strings(rows).cast(pa.large_string()).to_pylist()
         got = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter(itertools.chain.from_iterable(got), np.uint16, int(sizes.sum()))

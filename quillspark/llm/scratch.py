@@ -31,16 +31,20 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 class Scratch:
-    """Writes tables as Parquet in the shared folder and reads them again, which cuts their lineage. Holds broadcasts to be freed with them."""
+    """Writes tables as Parquet in the shared folder and reads them again, which cuts their lineage. Holds broadcasts to be freed with them.
+
+    From the first one on, the session's Arrow batches are of 4 MB at most, which bounds the memory of Python workers and of the buffers
+    on the way to them, also where a caller writes an operator's result."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
         self.shared: list[Broadcast] = []
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
 
     def share(self, value) -> Broadcast:
         """A broadcast that `free` ends."""
@@ -55,15 +59,10 @@ class Scratch:
         gc.collect()
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """The written table. While it is written, Arrow batches are small, which bounds the memory of Python workers and of their buffers."""
+        """The written table."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        before = self.spark.conf.get(BATCH[0])
-        self.spark.conf.set(*BATCH)
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set(BATCH[0], before)
+        df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = path
         return kept

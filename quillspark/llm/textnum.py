@@ -21,6 +21,8 @@ _VALUE[65:91] = _VALUE[97:123]
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 #: The six separators of a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -62,6 +64,45 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         yield at, len(sizes)
 
 
+class WordTable:
+    """Word hashes in an open-addressed numpy table: whole arrays are looked up and added at once."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key = np.zeros(1 << bits, np.uint64)  # 0 is free
+        self.count = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 for those not held."""
+        place = (h >> self.shift).astype(np.int64)
+        held = self.key[place]
+        open_ = np.flatnonzero((held != h) & (held != 0))
+        out = np.where(held == h, place, -1)
+        at = place[open_]
+        while len(open_):
+            at = (at + 1) & self.mask
+            held = self.key[at]
+            hit = held == h[open_]
+            out[open_[hit]] = at[hit]
+            on = ~hit & (held != 0)
+            open_, at = open_[on], at[on]
+        return out
+
+    def add(self, h: np.ndarray) -> np.ndarray:
+        """Places for distinct hashes that aren't held."""
+        place = (h >> self.shift).astype(np.int64)
+        open_ = np.arange(len(h))
+        while len(open_):
+            at = place[open_]
+            free = self.key[at] == 0
+            self.key[at[free]] = h[open_[free]]  # of several at one place, one stays
+            lost = open_[self.key[at] != h[open_]]
+            place[lost] = (place[lost] + 1) & self.mask
+            open_ = lost
+        self.count += len(h)
+        return place
+
+
 @dataclass
 class Words:
     """Of a chunk: for each word its text (row in the chunk), hash, and byte range; `data` holds the bytes."""
@@ -84,8 +125,12 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.bincount(self.text, minlength=self.n_texts)
 
-    def string(self, i: int) -> bytes:
-        return self.data[self.start[i] : self.end[i]].tobytes()
+    def strings(self, rows: np.ndarray, lower: bool = False) -> pa.Array:
+        """The bytes of the words in `rows`, A-Z lower-cased if asked, as large_binary."""
+        size = self.end[rows] - self.start[rows]
+        ends = np.cumsum(size)
+        raw = self.data[np.arange(int(size.sum())) + np.repeat(self.start[rows] - (ends - size), size)]
+        return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(_LOWER[raw] if lower else raw)])
 
 
 def words(texts: pa.Array, separators: np.ndarray = SPACES) -> Words:

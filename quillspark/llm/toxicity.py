@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .scratch import Scratch, free_name
 from .textnum import NOT_ALNUM, chunks, words
@@ -196,9 +196,11 @@ def score(docs: DataFrame, model: Broadcast, text_col: str = "text", score_col:
     the text; a null or empty one, or one without known words, gets the score of the bias. Every row is returned, and a column named as
     `score_col` is replaced. Columns that aren't kept don't come back from the workers. `model` is a broadcast of what `train` returns."""
     names = [c for c in (docs.columns if keep is None else keep) if c != score_col]
-    inner = docs.select(*names, F.col(text_col).cast("string").alias(free_name(names, "toxicity__text")))
     schema = StructType([*(docs.schema[c] for c in names), StructField(score_col, DoubleType())])
-    return inner.mapInArrow(partial(_scored, model=model, text=len(names), columns=list(range(len(names))), names=[*names, score_col]), schema)
+    inner, text = docs.select(*names), names.index(text_col) if text_col in names else len(names)
+    if text == len(names) or schema[text].dataType != StringType():
+        inner, text = docs.select(*names, F.col(text_col).cast("string").alias(free_name(names, "toxicity__text"))), len(names)
+    return inner.mapInArrow(partial(_scored, model=model, text=text, columns=list(range(len(names))), names=[*names, score_col]), schema)
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from quillspark.llm import latticelm
 from quillspark.llm.latticelm import Lattice, model_path, op2, score, vocabulary
 
 
@@ -23,19 +24,52 @@ def small():
     return pieces, weight, Lattice(pieces, np.log(weight))
 
 
-def test_sums_all_segmentations(small):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_sums_all_segmentations(small, monkeypatch, few):
+    """In arrays and word by word."""
+    monkeypatch.setattr(latticelm, "FEW", few)
     pieces, weight, m = small
     strings = [b"a", b"ab", b"abab", b"babab", b"aaaa", b"abababab"]
     want = [math.log(enumerated(b" " + s, dict(zip(pieces, weight, strict=True)))) for s in strings]
     assert np.allclose(m.log_probability(strings), want)
-    assert np.allclose([m.log_probability_of_long(s) for s in strings], want)
 
 
-def test_expected_uses(small):
-    pieces, _, m = small
-    uses = m.expected([b"abab", b"b"], np.array([3.0, 2.0]))
+@pytest.mark.parametrize("few", [0, 1000])
+def test_expected_uses(small, monkeypatch, few):
+    """The uses are the derivative of the log probability by the piece's log weight."""
+    monkeypatch.setattr(latticelm, "FEW", few)
+    pieces, weight, m = small
+    strings, counts = [b"abab", b"b", b"ababababab" * 30], np.array([3.0, 2.0, 1.0])
+    uses = m.expected(strings, counts)
     letters = sum(u * len(p) for u, p in zip(uses, pieces, strict=True))
-    assert abs(letters - (3 * 5 + 2 * 2)) < 1e-9
+    assert abs(letters - (3 * 5 + 2 * 2 + 301)) < 1e-6
+    for k in range(len(pieces)):
+        up, down = (np.log(weight) + s * 1e-5 * (np.arange(len(pieces)) == k) for s in (1, -1))
+        slope = counts @ (Lattice(pieces, up).log_probability(strings) - Lattice(pieces, down).log_probability(strings)) / 2e-5
+        assert abs(slope - uses[k]) < 1e-4
+
+
+def test_blocks_of_any_lengths(monkeypatch):
+    """Words of mixed lengths, long ones too, give in arrays what they give one by one."""
+    rng = np.random.default_rng(2)
+    pieces, prior = vocabulary(model_path())
+    m = Lattice(pieces, np.log(prior))
+    strings = [bytes(rng.choice(np.frombuffer(b"abcdefghiostn\xc3\xa9-1", np.uint8), int(k)).tobytes()) for k in rng.integers(1, 150, 200)]
+    whole = m.log_probability(strings)
+    uses = m.expected(strings, np.ones(200))
+    monkeypatch.setattr(latticelm, "FEW", 10_000)
+    assert np.allclose(whole, m.log_probability(strings)) and np.allclose(uses, m.expected(strings, np.ones(200)))
+
+
+def test_scores_of_one_text_by_enumeration(spark, monkeypatch):
+    """The score of a text is the sum over all segmentations, with the learned weights; so is that of the existing ones."""
+    pieces, prior = [b" ", b"a", b"b", b" a", b"ab", b" ab"], np.array([0.3, 0.2, 0.2, 0.1, 0.1, 0.1])
+    monkeypatch.setattr(latticelm, "vocabulary", lambda path: (pieces, prior))
+    df = spark.createDataFrame([(1, "ab aab b"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in score(df, "false").collect()}
+    weight = dict(zip(pieces, 0.99 * prior, strict=True))
+    want = sum(math.log10(enumerated(b" " + w, weight)) for w in (b"ab", b"aab", b"b")) + math.log10(0.01)
+    assert abs(got[1].existing_score - want) < 1e-9 and abs(got[1].score - want) < 1e-9 and abs(got[2].score + 2) < 1e-9
 
 
 def test_against_counts(spark):
