@@ -28,7 +28,7 @@ from .textnum import Words, WordTable, chunks, words
 
 WINDOW, END = 4096, 2
 #: Places of the table of words already met; it is emptied when half full.
-TABLE_BITS = 22
+TABLE_BITS = 21
 #: Bytes of text encoded at once.
 CHUNK = 1 << 18
 

@@ -18,12 +18,10 @@ _MARK = r"(?::=|=>|==|[=:])\s{0,2}(?:(?i:bearer|basic)\s{1,2})?"
 _ASSIGNED = rf"(?i:key|token|secret|passw|pwd|auth|bearer|credential|private|api)[A-Za-z0-9_-]{{0,12}}[\"'`]?\s{{0,2}}{_MARK}"
 #: A quoted value up to its closing quote, any other up to white space, a quote, or closing punctuation.
 _VALUE = r"(?!(?i:bearer|basic)\s)[^\s\"'`]*[^\s\"'`,;.)\]}>]"
-CANDIDATE = "|".join((
-    *(rf"(?<={_MARK}{q})(?<={_ASSIGNED}{q})[^{q}\n]+(?={q})" for q in ('"', "'", "`")),
-    rf"(?<={_MARK}[\"'`]?)(?<={_ASSIGNED}[\"'`]?){_VALUE}",
-    rf"(?<![A-Za-z0-9_+/-])(?:{PREFIX}){_VALUE}",
-    r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}+(?:={1,2}(?![A-Za-z0-9_+/\"'`=-]))?",
-))
+#: A secret's name, an assignment and the value, read forwards: a lookbehind as long as a name would be tried at each character.
+NAMED = f"{_ASSIGNED}(?:{'|'.join(f'{q}[^{q}{chr(92)}n]+(?={q})' for q in (chr(34), chr(39), '`'))}|[\"'`]?{_VALUE})"
+#: Runs of key characters, and runs with a known prefix.
+RUN = rf"(?<![A-Za-z0-9_+/-])(?:(?:{PREFIX}){_VALUE}|[A-Za-z0-9_+/-]{{12,}}+(?:={{1,2}}(?![A-Za-z0-9_+/\"'`=-]))?)"
 #: Code points of text beside a candidate that are looked at.
 BESIDE = 32
 TREES, DEPTH, SEED = 24, 6, 13
@@ -124,19 +122,39 @@ def train(findings: DataFrame) -> RandomForestClassificationModel:
     return RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows.select("label", "features"))
 
 
+def _found(pattern: str) -> Column:
+    """(start, hit, before, after) of the matches of a pattern in `text`. The text beside a match reaches over the match next to it."""
+    gaps, hits = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    n = F.size(hits)
+    tail, head = (lambda x: F.right(x, F.lit(BESIDE))), (lambda x: F.left(x, F.lit(BESIDE)))
+    before = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), F.coalesce(h, F.lit("")).alias("hit")))
+    after = F.zip_with(F.slice(gaps, 2, n), F.slice(hits, 2, n), lambda g, h: head(F.concat(head(g), head(F.coalesce(h, F.lit(""))))))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<start:bigint,hit:string,before:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + F.length(x["gap"])
+        beside = tail(F.concat(acc["tail"], tail(x["gap"])))
+        one = F.struct(at.alias("start"), x["hit"].alias("hit"), beside.alias("before"))
+        return F.struct((at + F.length(x["hit"])).alias("at"), tail(F.concat(beside, tail(x["hit"]))).alias("tail"), F.array_append(acc["out"], one).alias("out"))
+
+    placed = F.aggregate(F.slice(before, 1, n), start, step)["out"]
+    return F.zip_with(placed, after, lambda x, y: F.struct(x["start"].alias("start"), x["hit"].alias("hit"), x["before"].alias("before"), y.alias("after")))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end (code points, end exclusive), candidate, before, after of `docs` (doc_id, text)."""
-    some = docs.where(F.col("text").rlike(CANDIDATE))
-    gaps, hits = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    some = some.select("doc_id", gaps.alias("gaps"), hits.alias("hits"))
-    # Of each candidate, where it starts: the lengths of all gaps up to it and of all candidates before it.
-    some = some.withColumn("starts", F.expr("""aggregate(sequence(1, size(hits)), cast(array() as array<bigint>), (acc, i) -> array_append(acc,
-        cast(length(gaps[i - 1]) as bigint) + if(i = 1, 0, acc[i - 2] + length(hits[i - 2]))))"""))
-    # The text beside a candidate reaches over the candidate next to it: a long name is one itself.
-    each = some.select("doc_id", F.explode(F.expr(f"""transform(sequence(1, size(hits)), i -> named_struct('start', starts[i - 1], 'candidate', hits[i - 1],
-        'before', right(concat(if(i = 1, '', concat(right(gaps[i - 2], {BESIDE}), right(hits[i - 2], {BESIDE}))), right(gaps[i - 1], {BESIDE})), {BESIDE}),
-        'after', left(concat(left(gaps[i], {BESIDE}), if(i = size(hits), '', concat(left(hits[i], {BESIDE}), left(gaps[i + 1], {BESIDE})))), {BESIDE})))""")).alias("x"))
-    return each.select("doc_id", "x.start", (F.col("x.start") + F.length("x.candidate")).alias("end"), "x.candidate", "x.before", "x.after")
+    """doc_id, start, end (code points, end exclusive), candidate, before, after of `docs` (doc_id, text): values of a secret's name, and runs
+    that share no character with one of these."""
+    x = docs.select("doc_id", _found(NAMED).alias("named"), _found(RUN).alias("runs"))
+
+    def value(m: Column) -> Column:
+        own = F.regexp_extract(m["hit"], rf"(?s)^{_ASSIGNED}[\"'`]?(.+)\z", 1)
+        name = F.left(m["hit"], F.length(m["hit"]) - F.length(own))
+        return F.struct((m["start"] + F.length(name)).alias("start"), own.alias("hit"), F.right(F.concat(m["before"], F.right(name, F.lit(BESIDE))), F.lit(BESIDE)).alias("before"), m["after"].alias("after"))
+
+    x = x.select("doc_id", F.transform("named", value).alias("named"), "runs")
+    free = F.filter("runs", lambda r: ~F.exists("named", lambda v: (v["start"] < r["start"] + F.length(r["hit"])) & (r["start"] < v["start"] + F.length(v["hit"]))))
+    each = x.select("doc_id", F.explode(F.concat("named", free)).alias("x")).where("x.hit <> ''")
+    return each.select("doc_id", "x.start", (F.col("x.start") + F.length("x.hit")).alias("end"), F.col("x.hit").alias("candidate"), "x.before", "x.after")
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
