@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 PREFIX = "AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|sk[-_]|pk_|xox[abprs]-|eyJ|ya29"
 _MARK = r"(?::=|=>|==|[=:])\s{0,2}(?:(?i:bearer|basic)\s{1,2})?"
-_ASSIGNED = rf"(?i:key|token|secret|passw|pwd|auth|bearer|credential|private|api)[A-Za-z0-9_-]{{0,12}}[\"'`]?\s{{0,2}}{_MARK}"
+#: The lookaheads on letters that a name or prefix begins with only save time.
+_ASSIGNED = rf"(?=[kKtTsSpPaAbBcC][eEoOaAwWuUrRpP])(?i:key|token|secret|passw|pwd|auth|bearer|credential|private|api)[A-Za-z0-9_-]{{0,12}}[\"'`]?\s{{0,2}}{_MARK}"
 #: A quoted value up to its closing quote, any other up to white space, a quote, or closing punctuation.
 _VALUE = r"(?!(?i:bearer|basic)\s)[^\s\"'`]*[^\s\"'`,;.)\]}>]"
 #: A secret's name, an assignment and the value, read forwards: a lookbehind as long as a name would be tried at each character.
 NAMED = f"{_ASSIGNED}(?:{'|'.join(f'{q}[^{q}{chr(92)}n]+(?={q})' for q in (chr(34), chr(39), '`'))}|[\"'`]?{_VALUE})"
 #: Runs of key characters, and runs with a known prefix.
-RUN = rf"(?<![A-Za-z0-9_+/-])(?:(?:{PREFIX}){_VALUE}|[A-Za-z0-9_+/-]{{12,}}+(?:={{1,2}}(?![A-Za-z0-9_+/\"'`=-]))?)"
+RUN = rf"(?<![A-Za-z0-9_+/-])(?:(?=[Agspxey])(?:{PREFIX}){_VALUE}|[A-Za-z0-9_+/-]{{12,}}+(?:={{1,2}}(?![A-Za-z0-9_+/\"'`=-]))?)"
 #: Code points of text beside a candidate that are looked at.
 BESIDE = 32
 TREES, DEPTH, SEED = 24, 6, 13
@@ -122,9 +123,9 @@ def train(findings: DataFrame) -> RandomForestClassificationModel:
     return RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows.select("label", "features"))
 
 
-def _found(pattern: str) -> Column:
-    """(start, hit, before, after) of the matches of a pattern in `text`. The text beside a match reaches over the match next to it."""
-    gaps, hits = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+def _found(gaps: Column, hits: Column) -> Column:
+    """(start, hit, before, after) of the matches of a pattern, from what lies between them and the matches. The text beside a match reaches
+    over the match next to it."""
     n = F.size(hits)
     tail, head = (lambda x: F.right(x, F.lit(BESIDE))), (lambda x: F.left(x, F.lit(BESIDE)))
     before = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), F.coalesce(h, F.lit("")).alias("hit")))
@@ -144,7 +145,10 @@ def _found(pattern: str) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, start, end (code points, end exclusive), candidate, before, after of `docs` (doc_id, text): values of a secret's name, and runs
     that share no character with one of these."""
-    x = docs.select("doc_id", _found(NAMED).alias("named"), _found(RUN).alias("runs"))
+    # Columns of their own, so that each pattern is run twice a text and not for every use of its result.
+    both = {"named": NAMED, "run": RUN}
+    x = docs.select("doc_id", *(c for k, p in both.items() for c in (F.split("text", p, -1).alias(f"{k}_gaps"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"{k}_hits"))))
+    x = x.select("doc_id", *(_found(F.col(f"{k}_gaps"), F.col(f"{k}_hits")).alias(k) for k in both)).withColumnRenamed("run", "runs")
 
     def value(m: Column) -> Column:
         own = F.regexp_extract(m["hit"], rf"(?s)^{_ASSIGNED}[\"'`]?(.+)\z", 1)
