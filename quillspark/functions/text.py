@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
 
+#: The standard's named references; of these, those that need no semicolon; and the characters of numbers 128 to 159.
+_NAMED = dict(html5)
+_LEGACY = [n for n in html5 if not n.endswith(";")]
+_WINDOWS = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160)]
+
+
 def ws_normalise(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -23,9 +31,53 @@ def text_hash(c: Column) -> Column:
 
 
 def html_unescape(c: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&ndash;", "–"), ("&#8211;", "–"), ("&#8217;", "’"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """All character references of HTML as their characters: named ones (the standard's table, those that need no semicolon too), decimal
+    and hexadecimal ones. Numbers of the old Windows page stand for its characters, numbers of no character for U+FFFD or nothing."""
+    names = F.create_map(*(F.lit(x) for pair in _NAMED.items() for x in pair))
+    longest = max(map(len, _LEGACY))
+
+    def numbered(x: Column) -> Column:
+        digits = F.regexp_extract(x, r"^&#[xX]?([0-9A-Fa-f]+)", 1)
+        stripped = F.regexp_replace(digits, "^0+(?=.)", "")
+        base16 = x.rlike("^&#[xX]")
+        code = F.when(F.length(stripped) > 8, F.lit(1 << 24)).otherwise(F.when(base16, F.conv(stripped, 16, 10)).otherwise(stripped).cast("bigint"))
+        old = F.get(F.array(*map(F.lit, _WINDOWS)), (code - 128).cast("int"))
+        bad = (code > 0x10FFFF) | code.between(0xD800, 0xDFFF) | (code == 0)
+        nothing = (code < 32) & ~code.isin(9, 10, 12, 13) | code.between(127, 159) | code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(65536)) >= 65534)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        put = F.when(code.between(128, 159), old).when(code == 13, "\r").when(bad, "\ufffd").when(nothing, "").otherwise(char)
+        return F.concat(put, F.regexp_replace(x, "^&#(?:[0-9]+|[xX][0-9A-Fa-f]+);?", ""))
+
+    def named(x: Column) -> Column:
+        word = F.regexp_extract(x, "^&([A-Za-z][A-Za-z0-9]{0,31};?)", 1)
+        beginnings = F.transform(F.sequence(F.lit(0), F.lit(longest - 2)), lambda k: F.substring(word, 1, F.lit(longest) - k))
+        held = F.get(F.filter(F.array_prepend(F.array_distinct(beginnings), word), lambda w: F.element_at(names, w).isNotNull()), 0)
+        return F.when(held.isNull(), x).otherwise(F.concat(F.element_at(names, held), F.substring(x, F.length(held) + 2, F.length(x))))
+
+    def one(x: Column) -> Column:
+        return F.when(x.rlike("^&#(?:[0-9]|[xX][0-9A-Fa-f])"), numbered(x)).when(x.rlike("^&[A-Za-z]"), named(x)).otherwise(x)
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "(?=&)", -1), one), "")).otherwise(c)
+
+
+def number_forms(c: Column) -> Column:
+    """The ways a figure from 0.0001 to under a million is written: shortest form of six significant digits, one decimal, two decimals."""
+    trimmed = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    digits = F.greatest(F.lit(0), F.lit(5) - F.floor(F.log10(F.abs(c)))).cast("int")
+    exact = c.cast("decimal(38,12)")
+    rounded = F.coalesce(*(F.when(digits == k, F.bround(exact, k).cast("decimal(38,12)").cast("string")) for k in range(10)))
+    short = F.when(c == 0, "0").otherwise(trimmed(rounded))
+
+    def fixed(places: int) -> Column:
+        """The exact binary figure rounded: where twice the scaled figure is an odd number, what the product lost tells the side."""
+        scale = 2 * 10**places
+        high = 134217729.0 * c - (134217729.0 * c - c)
+        twice = c * scale
+        lost = (high * scale - twice) + (c - high) * scale
+        near = F.when((F.abs(twice % 2) == 1) & (lost != 0), (twice + F.signum(lost)) / 2).otherwise(F.bround(exact, places).cast("double") * (scale // 2))
+        return (F.rint(near).cast("decimal(30,0)") / F.lit(scale // 2)).cast(f"decimal(32,{places})").cast("string")
+
+    return F.array(short, fixed(1), fixed(2))
 
 
 def pdf_links(html: Column) -> Column:

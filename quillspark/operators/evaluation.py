@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sampling import uniform
@@ -27,11 +27,35 @@ def confusion(df: DataFrame, truth: str, pred: str, labels: list) -> DataFrame:
     return df.groupBy(truth).pivot(pred, labels).count().na.fill(0)
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds the number of each row, from 0, in the order of a numeric column of distinct values without nulls. Rows are sorted within ranges of the column,
+    whose bounds and sizes are all that reaches the driver, so no task sees all rows."""
+    parts = 2 * df.sparkSession.sparkContext.defaultParallelism
+    bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001)))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x < F.col(order)))
+    sizes = {r[0]: r[1] for r in df.groupBy(part.alias("part")).count().collect()}
+    before = [sum(sizes.get(j, 0) for j in range(i)) for i in range(len(bounds) + 1)]
+    at = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1 + F.get(F.array(*map(F.lit, before)), part)
+    return df.withColumn(name, at.cast("long"))
+
+
+def first_that_agrees(options: list[tuple[str, float]], least: float = 0.97) -> str | None:
+    """Of options in their order, each with its share of equal labels, the first that reaches `least`; None if none does."""
+    return next((name for name, share in options if share >= least), None)
+
+
+def check_labels(mapping: dict[int, str], expected: tuple[str, ...]) -> dict[int, str]:
+    """The mapping of class numbers to names, or an error unless it names each expected class once, numbered from 0."""
+    if sorted(mapping) != list(range(len(expected))) or sorted(mapping.values()) != sorted(expected):
+        raise ValueError(f"Label mapping {mapping} does not name {expected}")
+    return mapping
+
+
 def bootstrap(df: DataFrame, order: str, truth: str, preds: list[str], labels: list, n: int, seed: int = 0) -> DataFrame:
     """metric, low, high: 95 % intervals of each system's macro-F1 and of its difference from the first system, over n samples that all systems share.
 
     `order` numbers the rows from 0. Each replicate draws numbers by md5, and draws meet rows by number. Replicates are counts by (replicate, truth,
-    predictions) after the join, so what is grouped is n times the cells, not n times the rows."""
+    predictions) after the join, so what is grouped is n times the cells, not n times the rows; the n times rows draws are inherent."""
     size = df.count()
     picks = df.sparkSession.range(0, n * size, 1).select((F.col("id") / size).cast("long").alias("__b"), (F.col("id") % size).alias("__i"))
     picks = picks.withColumn("at", uniform(seed, "__b", "__i") % size).groupBy("__b", "at").agg(F.count(F.lit(1)).alias("__w"))

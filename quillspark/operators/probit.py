@@ -130,8 +130,14 @@ def out_of_sample_gain(df: DataFrame, y: str, base: list[str], variable: str, sp
     mean = []
     for columns in (base, [*base, variable]):
         f = fit(train, y, columns)
-        rows = later.select(y, *columns).collect()
-        mean.append(float(np.mean([math.log(max(f.probabilities(r.asDict())[int(r[y]) + 1], 1e-9)) for r in rows])))
+
+        def gains(frames, f=f):
+            for rows in frames:
+                logs = [math.log(max(f.probabilities(r)[int(r[y]) + 1], 1e-9)) for r in rows.to_dict("records")]
+                yield pd.DataFrame({"total": [float(sum(logs))], "n": [len(logs)]})
+
+        total, n = later.select(*(F.col(k).cast("double").alias(k) for k in (y, *columns))).mapInPandas(gains, "total double, n long").agg(F.sum("total"), F.sum("n")).first()
+        mean.append(total / n)
     return mean[1] - mean[0]
 
 
@@ -139,3 +145,9 @@ def scenarios(result: dict, controls: list[str]) -> dict[str, tuple[float, float
     """Probabilities of the three outcomes with the variable one deviation below, at and above its mean, controls at theirs."""
     means = dict(zip(controls, result["sample"].agg(*map(F.avg, controls)).first(), strict=True)) if controls else {}
     return {name: result["fit"].probabilities(means | {result["z"]: shift}) for name, shift in (("-1 sd", -1.0), ("average", 0.0), ("+1 sd", 1.0))}
+
+
+def spec_grid(df: DataFrame, y: str, variables: list[str], momentum: str, inflation: str, least: int = 40) -> list[dict]:
+    """`test_variable` for each variable with momentum as control, and with inflation beside it where at least `least` rows have a value."""
+    controls = [[momentum]] + ([[momentum, inflation]] if df.where(F.col(inflation).isNotNull()).count() >= least else [])
+    return [{"variable": v, "controls": " + ".join(c)} | test_variable(df, y, v, c) for v in variables for c in controls]

@@ -41,6 +41,13 @@ def check_series(df: DataFrame) -> DataFrame:
     return df.withColumn("__n", F.when(n > 1, F.raise_error(F.lit("duplicate (meeting_no, meeting_type)")).cast("int")).otherwise(n)).where("__n = 1").drop("__n")
 
 
+def check_rising(df: DataFrame, by: str, number: str, value: str) -> DataFrame:
+    """The rows, or a failing job where within a `by` the value doesn't rise with the number."""
+    before = F.lag(value).over(Window.partitionBy(by).orderBy(number))
+    bad = F.col(value) <= before
+    return df.withColumn("__ok", F.when(bad, F.raise_error(F.lit(f"{value} does not rise with {number}")).cast("boolean")).otherwise(F.lit(True))).where("__ok").drop("__ok")
+
+
 def clean_series(raw: DataFrame, corrections: DataFrame | None = None, additions: DataFrame | None = None) -> DataFrame:
     """Raw rows (meeting_no, mpc_dates, effective_raw, mpr) as the clean series. The change is over all meetings in the order of their end; it is one
     series of a few rows a year, which is the only reason why its window has no partition."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
@@ -15,8 +14,7 @@ PREDS = "(select doc_id, row_number() over (order by doc_id) - 1 as nth, quality
 
 def predictions(spark, d):
     x = table(spark, d, "labels")
-    at = F.row_number().over(Window.orderBy("doc_id")) - 1
-    return x.select("doc_id", at.cast("long").alias("at"), F.col("quality").alias("truth"), F.col("toxic").alias("a"), ((F.col("quality") + F.col("doc_id") % 3) % 2).cast("int").alias("b"))
+    return x.select("doc_id", F.col("quality").alias("truth"), F.col("toxic").alias("a"), ((F.col("quality") + F.col("doc_id") % 3) % 2).cast("int").alias("b"))
 
 
 def _f1(pred: str, v: int, w: str = "1") -> str:
@@ -35,18 +33,18 @@ def macro_f1(spark, d):
 
 
 @query(f"""with l as (select * from {PREDS}), n as (select count(*) as n from l),
-k as (select r.i // n as b, ('0x' || substr(md5('0|' || cast(r.i // n as varchar) || '|' || cast(r.i % n as varchar)), 1, 8))::bigint % n as nth from n, range(0, 100 * (select count(*) from labels)) r(i)),
+k as (select r.i // n as b, ('0x' || substr(md5('0|' || cast(r.i // n as varchar) || '|' || cast(r.i % n as varchar)), 1, 8))::bigint % n as nth from n, range(0, 1000 * (select count(*) from labels)) r(i)),
 s as (select k.b as rep, ({_f1('a', 0)} + {_f1('a', 1)}) / 2 as fa, ({_f1('l.b', 0)} + {_f1('l.b', 1)}) / 2 as fb from k join l using (nth) group by k.b),
 m as (select 'a' as metric, fa as v from s union all select 'b', fb from s union all select 'b - a', fb - fa from s)
 select metric, round(quantile_cont(v, 0.025), 9) as low, round(quantile_cont(v, 0.975), 9) as high from m group by 1""")
 def bootstrap_ci(spark, d):
-    x = E.bootstrap(predictions(spark, d), "at", "truth", ["a", "b"], [0, 1], 100)
+    x = E.bootstrap(E.numbered(predictions(spark, d), "doc_id", "at"), "at", "truth", ["a", "b"], [0, 1], 1000)
     return x.select("metric", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
-@query(f"select doc_id, truth, a, b from {PREDS} where doc_id % 4 = 0 and (truth is distinct from a or truth is distinct from b)")
+@query(f"select doc_id, truth, a, b from {PREDS} where (truth is distinct from a or truth is distinct from b)")
 def dev_errors(spark, d):
-    x = predictions(spark, d).where("doc_id % 4 = 0")
+    x = predictions(spark, d)
     return x.where(~F.col("truth").eqNullSafe(F.col("a")) | ~F.col("truth").eqNullSafe(F.col("b"))).select("doc_id", "truth", "a", "b")
 
 

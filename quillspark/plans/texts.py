@@ -42,7 +42,13 @@ def text_hash(spark, d):
     return documents(spark, d).select("doc_id", T.text_hash(t).alias("hash"), F.substring(T.ws_normalise(t), 1, 120).alias("opening"))
 
 
-@query("""select page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&ndash;', '–'), '&#8211;', '–'), '&#8217;', '’'), '&amp;', '&') as html from pages""")
+REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "#39": "''", "#x27": "''", "nbsp": "\u00a0", "copy": "©", "middot": "·", "ndash": "–", "#8211": "–", "#8217": "’"}
+UNESCAPED = "html"
+for _name, _char in REFERENCES.items():
+    UNESCAPED = f"replace({UNESCAPED}, '&{_name};', '{_char}')"
+
+
+@query(f"select page_id, regexp_replace({UNESCAPED}, '&amp;?', '&', 'g') as html from pages")
 def html_unescape(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_unescape(F.col("html")).alias("html"))
 
@@ -116,11 +122,15 @@ def no_closing_punct(spark, d):
     return documents(spark, d).select("doc_id", (~F.col("text").rlike(r"[.?!:;,]\z")).alias("open_end"))
 
 
-@query("select o_orderkey, contains(printf('%.2f', o_totalprice), '7.5') as hit from orders")
+FORMS = "[printf('%g', {x}), printf('%.1f', {x}), printf('%.2f', {x})]"
+
+
+@query(f"select l_orderkey, l_linenumber, {FORMS.format(x='l_discount * 100 + l_tax')} as forms, len(list_filter({FORMS.format(x='l_discount * 100 + l_tax')}, lambda f: contains(cast(l_extendedprice as varchar), f))) > 0 as hit from lineitem")
 def format_match(spark, d):
-    p = F.col("o_totalprice")
-    hit = F.contains(F.format_string("%.2f", p), F.lit("7.5"))
-    return table(spark, d, "orders").select("o_orderkey", hit.alias("hit"))
+    """Whether a figure stands in a text in one of the ways it is written."""
+    forms = T.number_forms(F.col("l_discount") * 100 + F.col("l_tax"))
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", forms.alias("forms"), F.col("l_extendedprice").cast("string").alias("text"))
+    return x.select("l_orderkey", "l_linenumber", "forms", F.exists("forms", lambda f: F.contains(F.col("text"), f)).alias("hit"))
 
 
 @query("""with f as (select source, min(doc_id) as first_id from documents group by 1), p as (select f.source, d.text as t, length(d.text) as n from f join documents d on d.doc_id = f.first_id)
