@@ -109,11 +109,11 @@ def statement_sentences(spark, d):
 
 @query("""select doc_id, not (regexp_matches(text, '\\b(?:Fed|ECB|SARB|CBN|FOMC)\\b') and not contains(lower(text), 'committee')) and (regexp_matches(text, '(?i)\\bdecid\\w*\\s+to\\s+(?:\\w+\\s+){0,3}(?:the\\s+|its\\s+)?rate\\b')
 or (regexp_matches(text, '(?i)\\b(?:policy rate|prime rate|monetary policy rate|MPR|policy stance)\\b') and regexp_matches(text, '(?i)\\bdecision\\b') and regexp_matches(text, '(?i)\\bkept\\b'))) as flag
-from (select doc_id, left(text, 200) || case doc_id % 4 when 0 then ' Committee kept the policy rate; decision.' when 1 then ' decided to keep the rate' when 2 then ' The Fed decided to cut the rate' else '' end as text from documents)""")
+from (select doc_id, text || case doc_id % 4 when 0 then ' Committee kept the policy rate; decision.' when 1 then ' decided to keep the rate' when 2 then ' The Fed decided to cut the rate' else '' end as text from documents)""")
 def decision_flag(spark, d):
     k = F.col("doc_id") % 4
     tail = F.when(k == 0, " Committee kept the policy rate; decision.").when(k == 1, " decided to keep the rate").when(k == 2, " The Fed decided to cut the rate").otherwise("")
-    x = documents(spark, d).select("doc_id", F.concat(F.substring("text", 1, 200), tail).alias("text"))
+    x = documents(spark, d).select("doc_id", F.concat("text", tail).alias("text"))
     return x.select("doc_id", T.is_decision(F.col("text")).alias("flag"))
 
 
@@ -206,9 +206,9 @@ def extract_level(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.level(t).alias("infl"))
 
 
-@query("select doc_id, case when doc_id % 2 = 0 then ' ' || left(text, 50) else left(text, 50) end as text from documents")
+@query("select doc_id, case when doc_id % 2 = 0 then ' ' || text else text end as text from documents")
 def strip_prefix_block(spark, d):
-    t = F.substring("text", 1, 50)
+    t = F.col("text")
     head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("B O G\nPRESS RELEASE May 5, 2020 "), t)).otherwise(t)
     return documents(spark, d).select("doc_id", S.strip_letterhead(head).alias("text"))
 
@@ -255,24 +255,8 @@ def dehyphenate(spark, d):
     return documents(spark, d).select("doc_id", F.regexp_replace(joined, "-\u0001", "-").alias("text"))
 
 
-@query("select doc_id, left(text, 40) as text from documents where regexp_matches(text, '^[A-Za-z]')")
+@query("select doc_id, text from documents")
 def strip_bullets(spark, d):
     mark = F.get(F.array(*map(F.lit, ("1. ", "(12) ", "• ", "(cid:3) "))), (F.col("doc_id") % 4).cast("int"))
-    x = F.regexp_replace(F.regexp_replace(F.concat(mark, F.substring("text", 1, 40)), P.NUMBERED, ""), P.BULLET, "")
-    return documents(spark, d).where(F.col("text").rlike("^[A-Za-z]")).select("doc_id", x.alias("text"))
-
-
-# ---- the same operators on whole texts of all documents, as they are ----
-@query()
-def decision_flag_whole(spark, d):
-    return documents(spark, d).select("doc_id", T.is_decision(F.col("text")).alias("flag"))
-
-
-@query()
-def strip_prefix_block_whole(spark, d):
-    return documents(spark, d).select("doc_id", S.strip_letterhead(F.col("text")).alias("text"))
-
-
-@query()
-def strip_bullets_whole(spark, d):
-    return documents(spark, d).select("doc_id", F.regexp_replace(F.regexp_replace("text", P.NUMBERED, ""), P.BULLET, "").alias("text"))
+    x = F.regexp_replace(F.regexp_replace(F.concat(mark, F.col("text")), P.NUMBERED, ""), P.BULLET, "")
+    return documents(spark, d).select("doc_id", x.alias("text"))
