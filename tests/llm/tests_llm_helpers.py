@@ -16,8 +16,8 @@ def kept_lines(docs):
     return {d: "\n".join(x for x in t.split("\n") if len(holds[key(x)]) < 2 or d == min(holds[key(x)])) for d, t in docs.items()}
 
 
-def near_duplicate_groups(docs):
-    """The least id of each group."""
+def near_duplicate_groups(docs, percent=80):
+    """The least id of each group of texts linked by a similarity of `percent` or more."""
     sets = {d: shingle_set(t) for d, t in docs.items()}
     ids = sorted(docs)
     parent = {d: d for d in ids}
@@ -31,7 +31,7 @@ def near_duplicate_groups(docs):
         for b in ids[:n]:
             if sets[a] and sets[b]:
                 both = len(sets[a] & sets[b])
-                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                     x, y = sorted((find(a), find(b)))
                     parent[y] = x
     return {find(d) for d in ids}
