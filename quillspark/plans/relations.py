@@ -224,10 +224,11 @@ def crosstab(spark, d):
     return table(spark, d, "documents").groupBy("source").pivot("lang", ["en", "fr", "de", "es"]).count().na.fill(0)
 
 
-@query("select o_orderstatus, string_agg(k, ' ' order by k) as keys from (select o_orderstatus, cast(o_custkey as varchar) as k from orders where o_totalprice > 400000) group by 1")
+@query("select o_custkey, string_agg(cast(o_orderkey as varchar), ' ' order by o_orderkey) as keys from orders group by 1")
 def string_agg(spark, d):
-    x = table(spark, d, "orders").where("o_totalprice > 400000").select("o_orderstatus", F.col("o_custkey").cast("string").alias("k"))
-    return x.groupBy("o_orderstatus").agg(F.array_join(F.array_sort(F.collect_list("k")), " ").alias("keys"))
+    """The order keys of each customer: lists are as long as a customer's orders are many."""
+    x = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    return x.select("o_custkey", F.array_join(F.transform("keys", lambda k: k.cast("string")), " ").alias("keys"))
 
 
 @query("select rule, count(*) as n from (select unnest(string_split(concat_ws(' ', p_brand, nullif(p_type, '')), ' ')) as rule from part) group by 1")
