@@ -136,14 +136,15 @@ def test_statement(spark):
     assert got[0].sentence_id == "7-001" and got[-1].is_decision and got[1].section_hint == "global"
 
 
-def test_whole_texts(spark, tmp_path):
+def test_whole_texts(spark):
     """Beyond the first 200 code points a decision counts, no text is cut, and texts that start with no letter are there."""
-    from quillspark.plans.catalogue import QUERIES
+    from quillspark.functions import patterns as P
+    from quillspark.operators import segment as S
 
     long = "word " * 400
     rows = [(1, long + "The Committee decided to keep the policy rate."), (2, long), (3, "2. " + long), (4, "Press Release May 5, 2020 " + long), (5, "• " + long)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {q: {r[0]: r[1] for r in QUERIES[q](spark, str(tmp_path)).collect()} for q in ("decision_flag_whole", "strip_prefix_block_whole", "strip_bullets_whole")}
-    assert got["decision_flag_whole"] == {1: True, 2: False, 3: False, 4: False, 5: False}
-    assert got["strip_prefix_block_whole"] == dict(rows) | {4: " " + long}
-    assert got["strip_bullets_whole"] == dict(rows) | {3: long, 5: long}
+    bare = F.regexp_replace(F.regexp_replace("text", P.NUMBERED, ""), P.BULLET, "")
+    x = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", T.is_decision(F.col("text")).alias("flag"), S.strip_letterhead(F.col("text")).alias("body"), bare.alias("bare")).collect()
+    assert {r.doc_id: r.flag for r in x} == {1: True, 2: False, 3: False, 4: False, 5: False}
+    assert {r.doc_id: r.body for r in x} == dict(rows) | {4: " " + long}
+    assert {r.doc_id: r.bare for r in x} == dict(rows) | {3: long, 5: long}
