@@ -61,7 +61,7 @@ def model_agreement(spark, d):
     return table(spark, d, "embeddings").agg(F.avg((F.signum(a) == F.signum(b)).cast("double")).alias("agreement"), F.avg(F.abs(a - b)).alias("gap"))
 
 
-@query("""select count(x) as done, count(*) filter (x is null) as open, list_sort(list(doc_id) filter (x = 'bad')) as invalid, count(*) filter (x = 'unsure') as unsure
+@query("""select count(x) as done, count(*) filter (x is null) as open, coalesce(list_sort(list(doc_id) filter (x = 'bad')), []) as invalid, count(*) filter (x = 'unsure') as unsure
 from (select d.doc_id, case when l.doc_id is null then null when l.toxic = 1 and l.doc_id % 10 = 0 then 'bad' when l.doc_id % 7 = 0 then 'unsure' else 'ok' end as x from documents d left join labels l on l.doc_id = d.doc_id)""")
 def label_progress(spark, d):
     lab = table(spark, d, "labels").select("doc_id", F.when((F.col("toxic") == 1) & (F.col("doc_id") % 10 == 0), "bad").when(F.col("doc_id") % 7 == 0, "unsure").otherwise("ok").alias("x"))
