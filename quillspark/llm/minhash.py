@@ -9,7 +9,8 @@ Links are then made certain on the full sets without forming all pairs of a grou
 1. Texts with equal sets are one node. In each bucket the node of least hash leads; every member is compared with
    its leader (one comparison for each node and band at most).
 2. What has one leader is a group; its hub R is the member with the fullest buckets, and groups with one hub are one. All
-   members are compared with R, those of large groups with a few further hubs too, and components are found.
+   members are compared with R, those of large groups with a further hub too, and components are found. Where rows meet
+   what belongs to their group's hub, those of a large group are dealt over tasks and the hub's row is repeated.
 3. Let D(u) be the symmetric difference of u and R. If u isn't linked with R, then any v linked with u shares at least
    t(u, v) = (|D(u)| + |D(v)| - 0.15 / 1.85 (|u| + |v|)) / 2 elements of D(u) and D(v), and t > 0. So the pairs that
    are still open are found by prefix filtering over D, with PPJoin's positional bound, in an order with the elements
@@ -32,8 +33,10 @@ from .scratch import Scratch
 from .textnum import chunks, mix, shingles, words
 
 FUNCTIONS, BANDS, ROWS = 48, 24, 4
-#: Groups of more members than this get so many hubs beyond the first before their open pairs are looked for.
-LARGE_GROUP, FURTHER_HUBS = 50, 1
+#: Groups of more members than this get a second hub before their open pairs are looked for.
+LARGE_GROUP = 50
+#: Members of a group that meet their hub's row in one task, by the size of their bucket.
+PART = 256
 #: Bytes of text whose words and shingles a worker holds at once.
 CHUNK = 1 << 18
 _odd = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,6 +107,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_long(node), pa.ListArray.from_arrays(pa.array(offsets), _long(value))], ["node", "h"])
 
 
+def dealt(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """`rows` (a, u, m, ...) joined by a with `keyed` (a, size, ...; one row for each a, size at least the m of its rows). The rows of
+    one a go to ceil(m / PART) parts by u, and keyed's row is repeated for each part. size is not returned."""
+    copies = keyed.withColumn("part", F.explode(F.expr(f"sequence(0L, ceil(size / {PART}) - 1)"))).drop("size")
+    return rows.withColumn("part", F.expr(f"pmod(xxhash64(u), ceil(m / {PART}))")).join(copies, ["a", "part"]).drop("part")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, banding=bands) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
 
@@ -142,10 +152,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def with_sets(pairs: DataFrame, x: str, y: str) -> DataFrame:
         return pairs.join(sets.select(F.col("node").alias(x), F.col("h").alias("hx")), x).join(sets.select(F.col("node").alias(y), F.col("h").alias("hy")), y)
 
+    def with_hub_sets(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("a").agg(F.max("m").alias("size"))
+        hubs = sets.select(F.col("node").alias("a"), F.col("h").alias("hy")).join(sizes, "a")
+        return dealt(rows.join(sets.select(F.col("node").alias("u"), F.col("h").alias("hx")), "u"), hubs)
+
     share = F.size(F.array_intersect("hx", "hy")).cast("long")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        out = with_sets(pairs, "u", "a").select("a", "u", "m", F.size("hx").cast("long").alias("nu"), F.size("hy").cast("long").alias("na"), share.alias("i"))
+        out = with_hub_sets(pairs).select("a", "u", "m", F.size("hx").cast("long").alias("nu"), F.size("hy").cast("long").alias("na"), share.alias("i"))
         return scratch.keep(out.withColumn("linked", F.expr(f"100 * i >= {percent} * (na + nu - i)")))
 
     def edges_of(rows: DataFrame) -> DataFrame:
@@ -153,40 +168,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sized = compared(led)
     ranked = sized.where("m > 2").select("a", "u", "m").union(sized.where("m > 2").select("a", F.col("a").alias("u"), "m"))
-    hub = ranked.join(degree.withColumnRenamed("node", "u"), "u").groupBy("a").agg(F.max_by("u", F.struct("fill", "u")).alias("r"))
-    behind = sized.where("m > 2").join(hub, "a").where("r <> u")
+    hub = ranked.join(degree.withColumnRenamed("node", "u"), "u").groupBy("a").agg(F.max_by("u", F.struct("fill", "u")).alias("r"), F.max("m").alias("size"))
+    behind = dealt(sized.where("m > 2"), hub).where("r <> u")
     same = behind.where("r = a").select("a", "u", "m", "nu", "na", "i", "linked")
     moved = behind.where("r <> a").groupBy("r", "u").agg(F.max("m").alias("m")).withColumnRenamed("r", "a").join(same.select("a", "u"), ["a", "u"], "left_anti")
-    grouped = scratch.keep(same.union(compared(moved)).dropDuplicates(["a", "u"]).join(degree.withColumnRenamed("node", "u"), "u"))
+    grouped = scratch.keep(same.union(compared(scratch.keep(moved))).dropDuplicates(["a", "u"]).join(degree.withColumnRenamed("node", "u"), "u"))
     edges = edges_of(sized).union(edges_of(grouped))
 
     def in_components() -> DataFrame:
         return scratch.keep(grouped.join(tied.withColumnRenamed("node", "u"), "u", "left").withColumn("component", F.coalesce("component", "u")))
 
-    # Large groups get further hubs, one a round, from their members that no hub so far holds.
-    tied, bars = scratch.keep(components(edges, scratch)), None
-    state = in_components()
-    for _ in range(FURTHER_HUBS):
-        large = state.groupBy("a").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("c1"), F.max("component").alias("c2")).where(f"rows > {LARGE_GROUP} and c1 < c2").select("a")
-        free = state.where("not linked").join(large, "a")
-        if bars is not None:
-            free = free.join(bars, "a").where("struct(fill, u) < bar").drop("bar")
-        bars = scratch.keep(free.groupBy("a").agg(F.max(F.struct("fill", "u")).alias("bar"), F.max_by("component", F.struct("fill", "u")).alias("own")))
-        if not bars.take(1):
-            break
-        pairs = state.join(bars, "a").where("component <> own").select(F.col("bar.u").alias("a"), "u", "m").dropDuplicates(["a", "u"])
-        tied = joined(tied, edges_of(compared(pairs)), scratch)
-        state, bars = in_components(), bars.select("a", "bar")
+    # Large groups get a second hub, the one of fullest buckets among the members that the first doesn't hold.
+    tied = scratch.keep(components(edges, scratch))
+    state, free = in_components(), F.when(~F.col("linked"), F.struct("fill", "u"))
+    bars = state.groupBy("a").agg(
+        F.max(free).alias("bar"), F.max_by("component", free).alias("own"), F.max("m").alias("size"),
+        F.count(F.lit(1)).alias("rows"), F.min("component").alias("c1"), F.max("component").alias("c2"),
+    )
+    bars = scratch.keep(bars.where(f"rows > {LARGE_GROUP} and c1 < c2 and bar is not null").select("a", "bar", "own", "size"))
+    if bars.take(1):
+        pairs = dealt(state, bars).where("component <> own").select(F.col("bar.u").alias("a"), "u", "m").dropDuplicates(["a", "u"])
+        tied = joined(tied, edges_of(compared(scratch.keep(pairs))), scratch)
+        state = in_components()
 
     # Pairs that are still open: d is |D(u)|; two linked sets differ in at most cut * (sum of their sizes) elements.
     cut, far = (100 - percent) / (100 + percent), 2 * (100 - percent)
     state = state.withColumn("d", F.expr("na + nu - 2 * i"))
     state = state.withColumn("ring", F.expr(f"not linked and 100 * i >= {100 - far} * (na + nu - i)")).withColumn("odd", ~F.col("linked"))
     groups = state.groupBy("a").agg(
-        *(F.sum(F.col(c).cast("long")).alias(f"{c}s") for c in ("ring", "linked", "odd")), F.min("component").alias("c1"), F.max("component").alias("c2")
+        *(F.sum(F.col(c).cast("long")).alias(f"{c}s") for c in ("ring", "linked", "odd")), F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("m").alias("size")
     ).where("c1 < c2 and ((rings > 0 and linkeds > 0) or odds > 1)").drop("c1", "c2")
-    open_rows = state.join(groups, "a").where("(linked and rings > 0) or (odd and (odds > 1 or (ring and linkeds > 0)))")
-    placed = with_sets(open_rows, "u", "a").select(
+    open_rows = dealt(state, groups).where("(linked and rings > 0) or (odd and (odds > 1 or (ring and linkeds > 0)))")
+    placed = with_hub_sets(scratch.keep(open_rows)).select(
         "a", "u", "nu", "na", "d", "linked", "ring", "component",
         F.concat(F.array_except("hx", "hy"), F.array_except("hy", "hx")).alias("delta"),
     )

@@ -84,6 +84,25 @@ def test_open_pairs_of_a_group(spark, seed):
     assert result(near_duplicates(df, banding=one_bucket)) == brute(rows)
 
 
+@pytest.mark.parametrize("part", [2, 5])
+def test_parts_of_a_group(spark, monkeypatch, part):
+    """Groups dealt over many tasks give the same rows."""
+    from quillspark.llm import minhash
+
+    monkeypatch.setattr(minhash, "PART", part)
+    rows = made(8, n_bases=2, copies=40)
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_dealt_keeps_each_row_once(spark):
+    from quillspark.llm.minhash import dealt
+
+    rows = spark.range(3000).selectExpr("id % 2 as a", "id as u", "if(id % 2 = 0, 1500L, 2L) as m")
+    keyed = spark.createDataFrame([(0, 1500, "p"), (1, 900, "q"), (2, 5, "r")], "a long, size long, v string")
+    got = dealt(rows, keyed)
+    assert got.columns == ["a", "u", "m", "v"] and sorted((r.u, r.v) for r in got.collect()) == [(i, "pq"[i % 2]) for i in range(3000)]
+
+
 def test_pipeline_stage_links_from_080(spark):
     """The stage against brute force at 80, on rows of which some are linked at 80 only."""
     import corpus_pipeline
