@@ -16,26 +16,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DICTIONARY_BYTES, SAMPLE_TEXTS, PART_CHARS = 32 << 10, 100, 4000
+DICTIONARY_BYTES, SAMPLE_TEXTS, SHORT_CHARS = 32 << 10, 100, 4000
 BLOCK_BYTES, LEVEL = 512, 9
 #: A choice is rejected if the second language's size is less than so much above the first's.
 LEAST_MARGIN = 0.01
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def train(docs: DataFrame, held_out: int = 0) -> dict[str, bytes]:
-    """Dictionaries by language, from at most SAMPLE_TEXTS texts of each language in the order of a hash of their id, of rows
-    whose crc32(doc_id as text) mod 5 is not `held_out` and whose lang is not null; rows with null ids take no part."""
+def train(docs: DataFrame, held_out: int = 0, dictionary_bytes: int = DICTIONARY_BYTES, sample_texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
+    """Dictionaries by language, of rows whose crc32(doc_id as text) mod 5 is not `held_out` and whose lang is not null.
+
+    Whole texts are taken until a dictionary of `dictionary_bytes` is full, `sample_texts` at most: those of up to SHORT_CHARS code points in
+    the order of a hash of their id, so that one long text doesn't fill it, then longer ones by length. Only the last text is cut, where the
+    dictionary ends. Rows with null ids take no part."""
     known = docs.where(F.expr(f"crc32(cast(doc_id as string)) % 5 <> {held_out}")).where("lang is not null and length(text) > 0")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("rn", F.row_number().over(first)).where(f"rn <= {SAMPLE_TEXTS}")
-    # The middle of a text, by code points: the bound of the sample.
-    middle = F.expr(f"substring(text, cast(greatest(1, length(text) / 2 - {PART_CHARS // 2}) as int), {PART_CHARS})")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "lang", "rn")), "doc_id").select("lang", "rn", middle.alias("part")).collect()
-    parts: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, -r.rn, r.part)):
-        parts.setdefault(r.lang, []).append(r.part.lower().encode())
-    return {k: b"\n".join(v)[-DICTIONARY_BYTES:].ljust(8) for k, v in sorted(parts.items())}
+    first = Window.partitionBy("lang").orderBy(F.greatest(F.length("text"), F.lit(SHORT_CHARS)), F.xxhash64("doc_id", F.lit(3)), "doc_id", "hash")
+    sized = known.select("doc_id", "lang", F.xxhash64("text").alias("hash"), F.octet_length("text").cast("long").alias("bytes"), "text")
+    chosen = sized.withColumn("rn", F.row_number().over(first)).where(f"rn <= {sample_texts}").drop("text")
+    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("lang").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = chosen.withColumn("before", before).where(f"before < {dictionary_bytes}").select("doc_id", "lang", "hash", "rn")
+    rows = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("hash")).join(F.broadcast(chosen), ["doc_id", "lang", "hash"])
+    rows = rows.select("lang", "rn", F.left("text", F.lit(dictionary_bytes)).alias("text")).dropDuplicates(["lang", "rn"]).collect()
+    texts: dict[str, list[bytes]] = {}
+    for r in sorted(rows, key=lambda r: (r.lang, r.rn)):
+        texts.setdefault(r.lang, []).append(r.text.lower().encode())
+    # The first texts stand last, where zstandard reaches them at the least cost.
+    return {k: b"\n".join(reversed(v))[-dictionary_bytes:].ljust(8) for k, v in texts.items()}
 
 
 class Classifier:

@@ -70,6 +70,20 @@ def test_language(spark):
     assert langid.op6(df.limit(0)).count() == 0
 
 
+def test_language_dictionaries_are_whole_texts(spark):
+    """Texts of up to 4,000 code points come first, whole; longer ones fill what is left; only the last is cut."""
+    rows = [(i, f"text {i} " * 40, "aa") for i in range(300)] + [(500, "long " * 3000, "aa"), (501, "é only " * 5000, "bb"), (502, "é only " * 5000, "bb"), (None, "no id", "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.train(df, held_out=-1)
+    texts = {t.encode() for _, t, k in rows[:300]}
+    assert set(got) == {"aa", "bb"} and all(len(v) == langid.DICTIONARY_BYTES for v in got.values())
+    parts = got["aa"].split(b"\n")
+    assert set(parts[1:]) <= texts and len(parts) > 50 and any(t.endswith(parts[0]) for t in texts)
+    small = langid.train(df.where("doc_id in (1, 2, 500)"), held_out=-1, dictionary_bytes=1000)["aa"]
+    assert set(small.split(b"\n")[1:]) == {rows[1][1].encode(), rows[2][1].encode()} and len(small) == 1000
+    assert langid.train(df, held_out=-1) == got
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
