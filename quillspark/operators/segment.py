@@ -74,7 +74,7 @@ def with_headings(lines: DataFrame) -> DataFrame:
     before = F.lag("line").over(w)
     x = lines.withColumn("__base", _heading_base(F.col("line"), F.lead("line").over(w))).withColumn("__ok", F.coalesce(before.rlike("[.?!:]$"), F.lit(True)))
     x = x.withColumn("__run", F.sum((~F.col("__base")).cast("int")).over(w))
-    x = x.withColumn("is_heading", F.col("__base") & F.max("__ok").over(Window.partitionBy("doc_id", "__run").orderBy("pos")))
+    x = x.withColumn("is_heading", F.col("__base") & F.max(F.col("__base") & F.col("__ok")).over(Window.partitionBy("doc_id", "__run").orderBy("pos")))
     title = F.trim(F.regexp_replace("line", P.LIST_MARKER, ""))
     x = x.withColumn("__block", F.sum((F.col("is_heading") & ~F.coalesce(F.lag("is_heading").over(w), F.lit(False))).cast("int")).over(w))
     joined = F.array_join(F.collect_list(F.when(F.col("is_heading"), title)).over(Window.partitionBy("doc_id", "__block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), " / ")

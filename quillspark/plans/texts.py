@@ -220,28 +220,51 @@ def doc_lines(spark, d):
     return S.lines_of(documents(spark, d))
 
 
-@query(rf"""select doc_id, count(*) as n from (select *, list_filter(string_split_regex(line, '\s+'), lambda x: x <> '') as t from {LINES})
-where line = '' or regexp_full_match(line, '(?i)(?:page\s+)?\d{{1,3}}(?:\s*(?:of|/)\s*\d{{1,3}})?') or regexp_full_match(line, '(?i)(?:(?:bank of ghana|monetary policy committee|press release|press briefing|public)\s*)+')
-or (line = upper(line) and regexp_matches(line, '\p{{Lu}}') and len(t) <= 3 and len(list_filter(t, lambda x: length(trim(x, '.,')) > 5)) = 0)
-or (len(t) >= 4 and len(list_filter(t, lambda x: length(trim(x, '.,')) <= 1)) / len(t) >= 0.6) group by 1""")
+TOKENS = r"list_filter(string_split_regex({}, '\s+'), lambda x: x <> '')"
+NOISE = r"""(line = '' or regexp_full_match(line, '(?i)(?:page\s+)?\d{1,3}(?:\s*(?:of|/)\s*\d{1,3})?') or regexp_full_match(line, '(?i)(?:(?:bank of ghana|monetary policy committee|press release|press briefing|public)\s*)+')
+or (line = upper(line) and regexp_matches(line, '\p{Lu}') and len(t) <= 3 and len(list_filter(t, lambda x: length(trim(x, '.,')) > 5)) = 0)
+or (len(t) >= 4 and len(list_filter(t, lambda x: length(trim(x, '.,')) <= 1)) / len(t) >= 0.6))"""
+DEBRIS = r"""(len(t) <= 10 and (regexp_matches(line, '(?i)press statement|for immediate release|release date|(?:^|[^\p{L}\p{N}_])est(?:$|[^\p{L}\p{N}_])|full text|kofgh')
+or (contains(lower(line), 'bank of ghana') and len(t) <= 6 and len(list_filter(t, lambda x: length(trim(x, '.,')) = 1 and regexp_matches(x, '\p{Lu}') and x = upper(x))) >= 2)))"""
+REPEATED = r"count(*) over (partition by doc_id, trim(regexp_replace(lower(line), '\d+', '#', 'g')))"
+#: Steps of a WITH clause; the last, `headed`, has the cleaned lines with is_heading and heading.
+HEADED = rf"""tokens as (select *, {TOKENS.format('line')} as t from {LINES}),
+told as (select doc_id, row_number() over (partition by doc_id order by pos) - 1 as pos, line, t from tokens where not {NOISE}),
+counted as (select *, {REPEATED} as times from told where pos >= 15 or not {DEBRIS}),
+cleaned as (select doc_id, row_number() over (partition by doc_id order by pos) - 1 as pos, line from counted
+ where not (times >= 3 and len(t) <= 8 and not regexp_matches(line, '[.?!:;,]$') and regexp_matches(line, '^[\p{{Lu}}\p{{Nd}}@w]'))),
+beside as (select *, trim(regexp_replace(line, '^[A-Z]\.\s+', '')) as title, lag(line) over w as before, lead(line) over w as following from cleaned window w as (partition by doc_id order by pos)),
+split as (select *, {TOKENS.format('title')} as t from beside),
+judged as (select *, coalesce(regexp_matches(before, '[.?!:]$'), true) as ended, len(t) between 1 and 9 and regexp_matches(title, '^\p{{Lu}}') and not regexp_matches(line, '[.?!:;,]$')
+ and coalesce(regexp_matches(following, '^[\p{{Lu}}\p{{Nd}}•]'), false)
+ and len(list_filter(t, lambda x: lower(x) not in {P.STOPWORDS} and regexp_matches(x, '^\p{{L}}') and not regexp_matches(x, '^\p{{Lu}}'))) = 0 as able from split),
+runs as (select *, count(*) filter (not able) over (partition by doc_id order by pos) as run from judged),
+told_headings as (select *, able and bool_or(able and ended) over (partition by doc_id, run order by pos) as is_heading from runs),
+firsts as (select *, is_heading and not coalesce(lag(is_heading) over (partition by doc_id order by pos), false) as first from told_headings),
+blocks as (select *, count(*) filter (first) over (partition by doc_id order by pos) as block from firsts),
+titles as (select doc_id, block, string_agg(title, ' / ' order by pos) as heading from blocks where is_heading group by 1, 2),
+headed as (select b.doc_id, b.pos, b.line, b.is_heading, b.block, coalesce(h.heading, '') as heading from blocks b left join titles h on h.doc_id = b.doc_id and h.block = b.block)"""
+
+
+@query(f"""select doc_id, count(*) as n from (select *, {TOKENS.format('line')} as t from {LINES}) where {NOISE} group by 1""")
 def noise_lines(spark, d):
     return doc_lines(spark, d).where(S.is_noise(F.col("line"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(rf"""select doc_id, pos, count(*) over (partition by doc_id, trim(regexp_replace(lower(line), '\d+', '#', 'g'))) as times from {LINES}""")
+@query(f"select doc_id, pos, {REPEATED} as times from {LINES}")
 def repeated_lines(spark, d):
     key = F.trim(F.regexp_replace(F.lower("line"), r"(?U)\d+", "#"))
     return doc_lines(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("doc_id", key)).alias("times"))
 
 
-@query(rf"""select doc_id, pos, len(list_filter(string_split_regex(line, '\s+'), lambda x: x <> '')) <= 10 and regexp_matches(line, '(?i)press statement|for immediate release|release date|(?:^|[^\p{{L}}\p{{N}}_])est(?:$|[^\p{{L}}\p{{N}}_])|full text|kofgh') as debris from {LINES} where pos < 15""")
+@query(f"select doc_id, pos, {DEBRIS} as debris from (select *, {TOKENS.format('line')} as t from {LINES}) where pos < 15")
 def debris_lines(spark, d):
     return doc_lines(spark, d).where("pos < 15").select("doc_id", F.col("pos").cast("long").alias("pos"), S.is_debris(F.col("line")).alias("debris"))
 
 
-@query()
+@query(f"with {HEADED} select doc_id, pos, is_heading, heading from headed")
 def heading_lines(spark, d):
-    return S.with_headings(S.clean_lines(doc_lines(spark, d))).select("doc_id", "pos", "is_heading", "heading")
+    return S.with_headings(S.clean_lines(doc_lines(spark, d))).select("doc_id", F.col("pos").cast("long").alias("pos"), "is_heading", "heading")
 
 
 @query()

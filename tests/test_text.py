@@ -136,6 +136,17 @@ def test_statement(spark):
     assert got[0].sentence_id == "7-001" and got[-1].is_decision and got[1].section_hint == "global"
 
 
+def test_heading_needs_an_ended_line_before(spark):
+    """A capitalised line that goes on from one without a full stop is no heading, whatever stands before that."""
+    from quillspark.operators import segment as S
+
+    lines = ["It ended.", "the rate is set by", "The Bank", "Growth was strong.", "Outlook", "Prices and Wages", "They rose."]
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, pos int, line string")
+    got = S.with_headings(rows).orderBy("pos").collect()
+    assert [r.is_heading for r in got] == [False, False, False, False, True, True, False]
+    assert [r.heading for r in got] == [""] * 4 + ["Outlook / Prices and Wages"] * 3
+
+
 def test_whole_texts(spark):
     """Beyond the first 200 code points a decision counts, no text is cut, and texts that start with no letter are there."""
     from quillspark.functions import patterns as P
