@@ -267,7 +267,19 @@ def heading_lines(spark, d):
     return S.with_headings(S.clean_lines(doc_lines(spark, d))).select("doc_id", F.col("pos").cast("long").alias("pos"), "is_heading", "heading")
 
 
-@query()
+CAPITALISED = "[A-Z][A-Za-z’''/&-]*"
+#: The steps after `headed`; the last, `bodies`, has the paragraphs.
+BODIES = rf"""inlined as (select *, case when is_heading then '' else regexp_extract(line, '^((?:{CAPITALISED}\s+){{0,7}}{CAPITALISED})\s+\d{{1,3}}\.\s+[A-Z]', 1) end as inline from headed),
+rests as (select *, regexp_replace(substring(line, length(inline) + 1), '^\s+', '') as rest from inlined),
+begun as (select *, not is_heading and (inline <> '' or regexp_matches(rest, '^\(?\d{{1,3}}[.)]\s+\S') or regexp_matches(rest, '^(?:[{P.GLYPHS}]|\(cid:\d+\)|[-–—]\s+[A-Z])')
+ or coalesce(lag(is_heading) over (partition by doc_id order by pos), true)) as starts,
+ regexp_replace(regexp_replace(rest, '^\(?\d{{1,3}}[.)]\s+(\S)', '\1'), '^(?:[{P.GLYPHS}]\s*|\(cid:\d+\)\s*|[-–—]\s+([A-Z]))', '\1') as body from rests),
+placed as (select *, count(*) filter (starts) over w as paragraph, last_value(case when inline <> '' then {{'b': block, 'h': trim(inline)}} end ignore nulls) over w as held from begun window w as (partition by doc_id order by pos)),
+bodies as (select doc_id, paragraph, arg_min(case when held.b = block then held.h else heading end, pos) as heading,
+ replace(replace(string_agg(body, chr(1) order by pos), '-' || chr(1), '-'), chr(1), ' ') as body from placed where not is_heading group by 1, 2)"""
+
+
+@query(f"with {HEADED}, {BODIES} select * from bodies")
 def paragraph_ids(spark, d):
     return S.paragraphs(S.clean_lines(doc_lines(spark, d)))
 
