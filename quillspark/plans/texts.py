@@ -101,14 +101,11 @@ def sentence_split_simple(spark, d):
     return documents(spark, d).select("doc_id", F.size(s).cast("long").alias("n"), F.get(s, 0).alias("first"))
 
 
-@query()
-def statement_sentences(spark, d):
-    """The whole statement pipeline over documents; tests check it on texts with letterheads and headings."""
-    return S.sentence_rows(documents(spark, d))
+DECIDED = """not (regexp_matches(text, '\\b(?:Fed|ECB|SARB|CBN|FOMC)\\b') and not contains(lower(text), 'committee')) and (regexp_matches(text, '(?i)\\bdecid\\w*\\s+to\\s+(?:\\w+\\s+){0,3}(?:the\\s+|its\\s+)?rate\\b')
+or (regexp_matches(text, '(?i)\\b(?:policy rate|prime rate|monetary policy rate|MPR|policy stance)\\b') and regexp_matches(text, '(?i)\\bdecision\\b') and regexp_matches(text, '(?i)\\bkept\\b')))"""
 
 
-@query("""select doc_id, not (regexp_matches(text, '\\b(?:Fed|ECB|SARB|CBN|FOMC)\\b') and not contains(lower(text), 'committee')) and (regexp_matches(text, '(?i)\\bdecid\\w*\\s+to\\s+(?:\\w+\\s+){0,3}(?:the\\s+|its\\s+)?rate\\b')
-or (regexp_matches(text, '(?i)\\b(?:policy rate|prime rate|monetary policy rate|MPR|policy stance)\\b') and regexp_matches(text, '(?i)\\bdecision\\b') and regexp_matches(text, '(?i)\\bkept\\b'))) as flag
+@query(f"""select doc_id, {DECIDED} as flag
 from (select doc_id, text || case doc_id % 4 when 0 then ' Committee kept the policy rate; decision.' when 1 then ' decided to keep the rate' when 2 then ' The Fed decided to cut the rate' else '' end as text from documents)""")
 def decision_flag(spark, d):
     k = F.col("doc_id") % 4
@@ -159,7 +156,10 @@ def doc_type(spark, d):
 HEADINGS = ("Global prices", "Price outlook", "Fiscal and debt", "External trade", "Banking credit", "Policy stance", "Informational note", "Real sector", "Annex")
 
 
-@query(f"""select p_partkey, case {" ".join(f"when regexp_matches(h, '(?i){p}') then '{n}'" for n, p in P.SECTION_HINTS)} else '' end as hint
+HINTED = " ".join(f"when regexp_matches({{}}, '(?i){p}') then '{n}'" for n, p in P.SECTION_HINTS)
+
+
+@query(f"""select p_partkey, case {HINTED.replace("{}", "h")} else '' end as hint
 from (select p_partkey, (['{"', '".join(HEADINGS)}'])[1 + cast(p_partkey % 9 as int)] as h from part)""")
 def section_hint(spark, d):
     h = F.get(F.array(*map(F.lit, HEADINGS)), (F.col("p_partkey") % 9).cast("int"))
@@ -265,15 +265,14 @@ def debris_lines(spark, d):
     return doc_lines(spark, d).where("pos < 15").select("doc_id", F.col("pos").cast("long").alias("pos"), S.is_debris(F.col("line")).alias("debris"))
 
 
-def statement_lines(spark, d):
+def statements(spark, d):
     opening = F.get(F.array(*map(F.lit, OPENINGS)), (F.col("doc_id") % 4).cast("int"))
-    text = F.concat(opening, F.replace("text", F.lit(". "), F.lit(".\n")))
-    return S.lines_of(documents(spark, d).select("doc_id", text.alias("text")))
+    return documents(spark, d).select("doc_id", F.concat(opening, F.replace("text", F.lit(". "), F.lit(".\n"))).alias("text"))
 
 
 @query(f"with {HEADED} select doc_id, pos, is_heading, heading from headed")
 def heading_lines(spark, d):
-    return S.with_headings(S.clean_lines(statement_lines(spark, d))).select("doc_id", F.col("pos").cast("long").alias("pos"), "is_heading", "heading")
+    return S.with_headings(S.clean_lines(S.lines_of(statements(spark, d)))).select("doc_id", F.col("pos").cast("long").alias("pos"), "is_heading", "heading")
 
 
 CAPITALISED = "[A-Z][A-Za-z’''/&-]*"
@@ -290,7 +289,20 @@ bodies as (select doc_id, paragraph, arg_min(case when held.b = block then held.
 
 @query(f"with {HEADED}, {BODIES} select * from bodies")
 def paragraph_ids(spark, d):
-    return S.paragraphs(S.clean_lines(statement_lines(spark, d)))
+    return S.paragraphs(S.clean_lines(S.lines_of(statements(spark, d))))
+
+
+SENTENCES_OF_BODY = SENTENCES.replace("{t}", "body").replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""with {HEADED}, {BODIES}, found as (select doc_id, paragraph, heading, unnest(list_transform({SENTENCES_OF_BODY}, lambda s, i: {{'s': s, 'i': i}})) as u from bodies),
+numbered as (select *, u.s as text, row_number() over (partition by doc_id order by paragraph, u.i) as position, len({TOKENS.format('u.s')}) as n_words from found)
+select printf('%d-%03d', doc_id, position) as sentence_id, doc_id, paragraph, position, text, n_words, n_words < 5 as is_short, regexp_matches(text, '^\\p{{Ll}}') as is_fragment,
+{DECIDED} as is_decision, heading as section_heading, case {HINTED.replace("{}", "heading")} else '' end as section_hint from numbered""")
+def statement_sentences(spark, d):
+    """The whole statement pipeline over documents; tests check it on texts with letterheads too."""
+    x = S.sentence_rows(statements(spark, d)).withColumn("position", F.col("position").cast("long")).withColumn("n_words", F.col("n_words").cast("long"))
+    return x.select("sentence_id", "doc_id", "paragraph", "position", "text", "n_words", "is_short", "is_fragment", "is_decision", "section_heading", "section_hint")
 
 
 @query("select doc_id, regexp_replace(replace(replace(text, chr(10), chr(1)), '.' || chr(1), '-' || chr(1)), '-' || chr(1), '-', 'g') as text from documents")
