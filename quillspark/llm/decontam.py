@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval, with longest-common-subsequence and answer checks.
 
 Words are hashed to 2**14 features, weighted by inverse document frequency over all documents. A distributed randomised SVD of TF-IDF passages
-(range finding with random test vectors, one power iteration, then the small eigenproblem) gives a whitened latent space. It is the index's
-fit: the passages are those of a bounded sample of documents and of every item, so that each word of an item has its place. The search
-is over everything: every window of every document, at scales of 32 words and four times more until they are a third of the longest
-item, is compared with every item by cosine, and near ones are verified on the words themselves: the longest common subsequence of item and
-surroundings must hold 80 % of the item's words, or 60 % if also the item's answer, its last sentence, is there whole.
+(random test vectors, one power iteration, then Nystrom's small eigenproblem) gives a whitened latent space. Its passages are those of every
+document and of every item. The texts are read once for it: word counts of passages are written as packed arrays, which both passes
+of the decomposition read. The search is over everything too: every window of every document, at scales of 32 words and four times more until
+they are a third of the longest item, is compared with every item by cosine, and near ones are verified on the words themselves: the longest
+common subsequence of item and surroundings must hold 80 % of the item's words, or 60 % if also the item's answer, its last sentence, is there whole.
 """
 
 from __future__ import annotations
@@ -23,8 +23,11 @@ from .scratch import Scratch, free_name
 from .textnum import Words, chunks, words
 
 BITS, RANK, EXTRA = 14, 64, 8
-#: A pass of the SVD has so many tasks; its sums are in so many blocks of features, summed in so many tasks.
-TASKS, SUM_BLOCKS, SUM_TASKS = 16, 64, 8
+#: A pass of the SVD has a task for so many chunks, but no fewer than TASKS; its sums are in so many blocks of features,
+#: summed in so many tasks at least, and a fourth of the tasks that bring them.
+TASK_CHUNKS, TASKS, SUM_BLOCKS, SUM_TASKS = 256, 8, 64, 8
+#: Chunks that are multiplied at once, and the word counts whose vectors are held at once, so that they stay in a core's cache.
+PRODUCT_CHUNKS, PRODUCT_BLOCK = 16, 1024
 PASSAGE, FIRST_SCALE = 64, 32
 LEAST_COSINE, LEAST_SHARE, LEAST_SHARE_WITH_ANSWER = 0.35, 0.8, 0.6
 #: Of the lesser idf sum of window and item, so much must be of words of both before the subsequence is computed.
@@ -41,67 +44,83 @@ def feature(w: Words) -> np.ndarray:
     return (w.hash >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, n, passages): the packed passages of each chunk, with feature -2 and n 1; at the end the texts that hold each feature,
+    with -1 the texts."""
     total, n = np.zeros(1 << BITS, np.int64), 0
     for batch in batches:
+        packed = []
         for a, b in chunks(batch["text"], CHUNK):
             w = words(batch["text"].slice(a, b - a))
-            key = ((w.text << BITS) | feature(w)).astype(np.int32 if b - a < 1 << 31 - BITS else np.int64)
-            key.sort()
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            total += np.bincount(key[new] & ((1 << BITS) - 1), minlength=1 << BITS)
             n += b - a
+            if len(w.hash):
+                text, parts = _passages(w)
+                packed.append(parts)
+                total += np.bincount(text, minlength=1 << BITS)
+        if packed:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(packed), -2)), pa.array(np.ones(len(packed), np.int64)), pa.array(packed, pa.binary())], ["feature", "n", "passages"])
     used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], n))], ["feature", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], n)), pa.nulls(len(used) + 1, pa.binary())], ["feature", "n", "passages"])
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(documents holding each feature, documents), over all rows; what reaches the driver is bounded by the features."""
-    out, n = np.zeros(1 << BITS), 0
-    for r in docs.mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
-        if r.feature < 0:
-            n = r.n
-        else:
-            out[r.feature] = r.n
-    return out, n
-
-
-def _passages(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(row, feature, weight, rows): unit TF-IDF vectors of consecutive passages."""
-    w = words(texts)
-    if not len(w.hash):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+def _passages(w: Words) -> tuple[np.ndarray, bytes]:
+    """Of a chunk with words: the feature of each pair of a text and one of its features, and the consecutive passages of each text, packed: how many there
+    are, the features in each, then feature and count of each."""
     counts = w.counts()
     within = np.arange(len(w.hash)) - np.repeat(np.cumsum(counts) - counts, counts)
-    row = np.cumsum(within % PASSAGE == 0) - 1
-    key, tf = np.unique((row << BITS) | feature(w), return_counts=True)
-    row, f = key >> BITS, key & ((1 << BITS) - 1)
-    weight = tf * idf[f]
-    norm = np.sqrt(np.bincount(row, weight * weight))
-    return row, f, weight / np.maximum(norm[row], 1e-12), int(row[-1]) + 1
+    first = within % PASSAGE == 0
+    row = np.cumsum(first) - 1
+    key = ((row << BITS) | feature(w)).astype(np.int32 if row[-1] < 1 << 31 - BITS - 1 else np.int64)
+    key.sort()
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    row, f, tf = key[at] >> BITS, key[at] & ((1 << BITS) - 1), np.diff(np.append(at, len(key)))
+    sizes = np.bincount(row)
+    # A text's features, of all its passages.
+    pair = ((w.text[first][row].astype(np.int64)) << BITS) | f
+    pair.sort()
+    distinct = pair[np.concatenate(([True], pair[1:] != pair[:-1]))] & ((1 << BITS) - 1)
+    return distinct, np.uint32(len(sizes)).tobytes() + sizes.astype(np.uint8).tobytes() + f.astype("<u2").tobytes() + tf.astype(np.uint8).tobytes()
+
+
+def _unpacked(packed: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features in each passage, feature, count)."""
+    n = int(np.frombuffer(packed, "<u4", 1)[0])
+    sizes = np.frombuffer(packed, np.uint8, n, 4).astype(np.int64)
+    f = np.frombuffer(packed, np.uint8, 2 * int(sizes.sum()), 4 + n).view("<u2")
+    return sizes, f, np.frombuffer(packed, np.uint8, len(f), 4 + n + 2 * len(f))
 
 
 def _products(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """A'A Q for the task's passages A, in blocks of features; blocks without a word of the task are left out."""
+    """A'A Q for the task's passages A (unit TF-IDF vectors), in blocks of features; blocks without a word of the task are left out."""
     idf, q = shared.value
     out = np.zeros(q.shape, np.float64)
+    held = np.empty((PRODUCT_BLOCK, q.shape[1]), np.float32)
     for batch in batches:
-        for a, b in chunks(batch["text"], 1 << 18):
-            row, f, weight, n = _passages(batch["text"].slice(a, b - a), idf)
-            if not n:
-                continue
-            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            weight = weight.astype(np.float32)
-            y = np.add.reduceat(weight[:, None] * q[f], first, axis=0)
+        for at in range(0, batch.num_rows, PRODUCT_CHUNKS):
+            packed = [_unpacked(memoryview(x.as_buffer())) for x in batch["passages"].slice(at, PRODUCT_CHUNKS)]
+            sizes, f, tf = map(np.concatenate, zip(*packed, strict=True))
+            row, weight = np.repeat(np.arange(len(sizes)), sizes), tf * idf[f]
+            norm = np.sqrt(np.maximum(np.add.reduceat(weight * weight, np.cumsum(sizes) - sizes), 1e-24))
+            weight = (weight / norm[row]).astype(np.float32)
+            y = np.zeros((len(sizes), q.shape[1]), np.float32)
+            _add_rows(y, row, q, f, weight, held)
             order = np.argsort(f, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], f[order][1:] != f[order][:-1])))
-            out[f[order][first]] += np.add.reduceat(weight[order, None] * y[row[order]], first, axis=0)
+            _add_rows(out, f[order], y, row[order], weight[order], held)
     parts = out.reshape(SUM_BLOCKS, -1)
     used = np.flatnonzero(parts.any(1))
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([parts[i].astype(np.float32).tobytes() for i in used], pa.binary())], ["block", "z"])
 
 
+def _add_rows(to: np.ndarray, at: np.ndarray, table: np.ndarray, rows: np.ndarray, weight: np.ndarray, held: np.ndarray) -> None:
+    """to[at] += weight * table[rows], for rising `at`, which may repeat."""
+    for a in range(0, len(at), len(held)):
+        own = at[a : a + len(held)]
+        part = np.take(table, rows[a : a + len(held)], axis=0, out=held[: len(own)], mode="clip")
+        part *= weight[a : a + len(held), None]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        to[own[first]] += np.add.reduceat(part, first, axis=0)
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sum of each block that is dealt to the task."""
     total: dict[int, np.ndarray] = {}
@@ -111,20 +130,33 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "z"])
 
 
-def fit(docs: DataFrame, items: DataFrame, scratch: Scratch, sample_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, projection): the latent space of the passages of all `items` and of the `sample_texts` documents (doc_id, text) whose ids have the
-    least hashes. Each of three passes sums its products in the cluster, so that only the sums of 2**14 x 72 numbers reach the driver."""
-    df, n = document_frequencies(docs.select("text"))
+def fit(docs: DataFrame, items: DataFrame, scratch: Scratch, sample_texts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(idf, projection): the latent space of the passages of all `items` and all `docs` (doc_id, text), rows with null ids too. With `sample_texts`
+    the passages are those of so many documents, whose ids have the least hashes, and of all items; idf is of all documents anyway. Two
+    passes over the packed passages sum their products in the cluster, so that only the sums of 2**14 x 72 numbers reach the driver."""
+    schema = "feature long, n long, passages binary"
+    counted = scratch.keep(docs.select("text").mapInArrow(_counted, schema))
+    df, n, packed = np.zeros(1 << BITS), 0, 0
+    for r in counted.groupBy("feature").agg(F.sum("n").alias("n")).collect():
+        if r.feature >= 0:
+            df[r.feature] = r.n
+        elif r.feature == -1:
+            n = r.n
+        else:
+            packed = r.n
     idf = np.log((n + 1) / (df + 1)) + 0.01
-    order = F.xxhash64("doc_id", F.lit(29))
-    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(order, "doc_id").limit(sample_texts)
-    every = docs.join(F.broadcast(chosen), "doc_id").select("text").union(items.select("text"))
-    # A task brings up to 5 MB of sums, so there are few.
-    every = scratch.keep(every.repartition(TASKS))
+    if sample_texts is not None:
+        order = F.xxhash64("doc_id", F.lit(29))
+        chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(order, "doc_id").limit(sample_texts)
+        counted = scratch.keep(docs.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(_counted, schema))
+    own = scratch.keep(items.select("text").coalesce(1).mapInArrow(_counted, schema))
+    # A task brings up to 5 MB of sums, so a small table has few.
+    tasks = max(TASKS, packed // TASK_CHUNKS)
+    every = counted.union(own).where("feature = -2").select("passages").coalesce(tasks)
 
     def product(q: np.ndarray) -> np.ndarray:
         shared = scratch.share((idf, q.astype(np.float32)))
-        parts = every.mapInArrow(partial(_products, shared=shared), "block long, z binary").repartition(SUM_TASKS, "block")
+        parts = every.mapInArrow(partial(_products, shared=shared), "block long, z binary").repartition(min(SUM_BLOCKS, max(SUM_TASKS, tasks // 4)), "block")
         out = np.zeros((SUM_BLOCKS, q.size // SUM_BLOCKS))
         for r in parts.mapInArrow(_summed, "block long, z binary").collect():
             out[r.block] = np.frombuffer(r.z, np.float64)
@@ -133,12 +165,17 @@ def fit(docs: DataFrame, items: DataFrame, scratch: Scratch, sample_texts: int)
 
     q = np.random.Generator(np.random.PCG64(31)).normal(size=(1 << BITS, RANK + EXTRA))
     q = np.linalg.qr(product(q))[0]
-    q = np.linalg.qr(product(q))[0]
-    value, vector = np.linalg.eigh(q.T @ product(q))
-    top = np.argsort(-value)[:RANK]
-    sigma = np.sqrt(np.maximum(value[top], 0))
-    keep = sigma > 1e-6 * max(1e-12, sigma[0])
-    return idf.astype(np.float32), (q @ vector[:, top][:, keep] / sigma[keep]).astype(np.float32)
+    return idf.astype(np.float32), whitened(q, product(q))
+
+
+def whitened(q: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The first RANK eigenvectors of G, each over the root of its eigenvalue, by Nystrom's approximation z (q'z)^-1 z' with z = G q, whose range is that of
+    another power iteration without another pass."""
+    value, vector = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+    keep = value > 1e-9 * max(1e-12, value[-1])
+    u, root, _ = np.linalg.svd(z @ (vector[:, keep] / np.sqrt(value[keep])), full_matrices=False)
+    keep = root[:RANK] > 1e-6 * max([1e-12, *root[:1]])
+    return np.ascontiguousarray(u[:, :RANK][:, keep] / root[:RANK][keep], np.float32)
 
 
 def answer(text: bytes) -> list[bytes]:
@@ -153,7 +190,7 @@ class Index:
     def __init__(self, ids: list[int], texts: list[str], idf: np.ndarray, projection: np.ndarray, exact_below: int = 8):
         self.exact_below = exact_below
         self.idf, self.projection, self.scaled = idf, projection, idf[:, None] * projection
-        self.padded = np.concatenate((self.scaled, np.zeros((1, projection.shape[1])))).astype(np.float32)
+        self.rows = np.ascontiguousarray(self.scaled, np.float32)
         w = words(pa.array(texts, pa.string()))
         ends = np.cumsum(w.counts())
         self.ids, self.words, self.answers = [], [], []
@@ -222,14 +259,12 @@ class Index:
         # Sums of eight words each, from the start of each text; windows begin and end at these.
         within = np.arange(len(h)) - np.repeat(first[:-1], sizes)
         eight = np.concatenate(([0], np.cumsum(-(-sizes // 8))))
-        row, column = np.repeat(eight[:-1], sizes) + within // 8, within % 8
-        grid = np.full((int(eight[-1]), 8), len(self.idf), np.int64)  # the last row of `padded` is zero
-        grid[row, column] = f
-        total = np.take(self.padded, grid[:, 0], axis=0)
-        part = np.empty_like(total)
-        for c in range(1, 8):
-            np.take(self.padded, grid[:, c], axis=0, out=part, mode="clip")
-            total += part
+        begin = np.append(np.flatnonzero(within % 8 == 0), len(h))
+        total, held = np.empty((int(eight[-1]), self.rows.shape[1]), np.float32), np.empty((PRODUCT_BLOCK, self.rows.shape[1]), np.float32)
+        for a in range(0, len(total), PRODUCT_BLOCK // 8):
+            own = begin[a : a + PRODUCT_BLOCK // 8 + 1]
+            part = np.take(self.rows, f[own[0] : own[-1]], axis=0, out=held[: own[-1] - own[0]], mode="clip")
+            np.add.reduceat(part, own[:-1] - own[0], axis=0, out=total[a : a + len(own) - 1])
         sums = np.zeros((len(total) + 1, total.shape[1]), np.float32)
         np.cumsum(total, axis=0, out=sums[1:])
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
@@ -289,14 +324,14 @@ def _flagged(batches: Iterator[pa.RecordBatch], shared, text: int, columns: list
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(rows, pa.list_(pa.int64()))], names)
 
 
-def leaked(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out_col: str = "leaked_items", keep: list[str] | None = None, sample_texts: int = 8000, exact_below: int = 8) -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out_col: str = "leaked_items", keep: list[str] | None = None, sample_texts: int | None = None, exact_below: int = 8) -> DataFrame:
     """The columns `keep` of `docs` (all, unless named) and `out_col`: the sorted ids of the items that the text holds (replacing a column of
     this name). `scratch` holds the broadcasts of what the result reads, to be freed when it is written.
 
     Every row and the whole text are searched; rows with null ids too. Null or empty texts hold nothing; items that are null, or
     without words, or with null ids are held by nothing; items of fewer words than `exact_below` are held only word for word, since a
     subsequence of a few words is found in any text. Of items that share an id each counts for the id. No rows give none; without
-    items all lists are empty. The index is fitted on at most `sample_texts` documents and all items."""
+    items all lists are empty. The latent space is of all documents and items; with `sample_texts`, of so many documents and all items."""
     items = items.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).where("item_id is not null")
     names = [c for c in (docs.columns if keep is None else keep) if c != out_col]
     n = items.count()

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,36 @@ def test_recall_beyond_the_sample_and_one_block(spark):
     assert [r.text for r in sorted(found, key=lambda r: r.doc_id)] == [t for _, t in rows]
 
 
+def test_latent_space_is_of_all_documents(spark):
+    """8,300 documents, of which the 300 of greatest hash have words of their own: the space holds as much of all passages as the exact SVD, and
+    each of those words has a place. Rows with null ids count."""
+    rng = random.Random(9)
+    first = {r.doc_id for r in spark.range(8300).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(8000).collect()}
+    common, late, last = ([f"{a}{b}{e}" for a in "bcdfgl" for b in "aeiou"] for e in ("rn", "xq", "zv"))
+    rows = [(i, prose(rng, common if i in first else late, 20 if i % 2 else 90)) for i in range(8300)] + [(None, prose(rng, last, 30)) for _ in range(200)]
+    items = [(1, prose(rng, common, 20))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    idf, projection = decontam.fit(docs, bench, Scratch(spark, "test"))
+
+    place = {w: int(decontam.feature(decontam.words(pa.array([w])))[0]) for w in common + late + last}
+    held = np.zeros(1 << decontam.BITS)
+    for _, t in rows:
+        held[list({place[w] for w in t.split()})] += 1
+    assert np.allclose(idf, np.log((len(rows) + 1) / (held + 1)) + 0.01, atol=1e-6)
+    assert (np.abs(projection[[place[w] for w in late + last]]).max(1) > 0).all()
+    column = {f: k for k, f in enumerate(sorted(set(place.values())))}
+    passages = [t.split()[a : a + 64] for _, t in rows + items for a in range(0, len(t.split()), 64)]
+    a = np.zeros((len(passages), len(column)))
+    for k, p in enumerate(passages):
+        for w in p:
+            a[k, column[place[w]]] += idf[place[w]]
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    basis = np.linalg.qr(projection[list(column)].astype(float))[0]
+    exact = np.linalg.svd(a, compute_uv=False)[: projection.shape[1]]
+    assert projection.shape[1] == 64 and ((a @ basis) ** 2).sum() >= 0.99 * (exact**2).sum()
+    assert np.allclose(np.linalg.norm(a @ projection[list(column)], axis=0)[:8], 1, atol=0.02)
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     words = [f"{a}{b}{c}" for a in "bcdfgl" for b in "aeiou" for c in ("rn", "st", "mp", "ck")]
