@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning: a linear numpy model over hashed words.
 
-The positives are confirmed toxic texts. The unlabelled set is a sample of all texts that aren't confirmed, whether someone called them clean
+The positives are all confirmed toxic texts. The unlabelled set is all texts that aren't confirmed, whether someone called them clean
 or nobody looked; none counts as clean. With p, the share of toxic texts among the unlabelled, the risk is
 p R+(positives) + max(0, R-(unlabelled) - p R-(positives)): the second part estimates the risk on clean texts and is kept from turning
 negative, which would be overfitting; where it does, its gradient is followed back instead. The decision threshold has the least
@@ -25,8 +25,14 @@ from .scratch import Scratch, free_name
 from .textnum import NOT_ALNUM, chunks, words
 
 BITS = 20
-#: A feature counts if it is found in so many of the sample's texts, and so many standard deviations more often in positive ones.
+#: A feature counts if it is found in so many texts, and so many standard deviations more often in positive ones.
 LEAST_TEXTS, LEAST_Z = 5, 4.0
+#: Steps of Adam over all rows, the first step's length, and the steps after which it is halved.
+STEPS, RATE, HALF = 80, 0.3, 20
+#: The threshold lies between two cells of logits of this width.
+CELL = 1 / 1024
+#: A step has a task for so many distinct rows, but no fewer than TASKS. So many ids of positives at most are broadcast, more are joined by a shuffle.
+TASK_ROWS, TASKS, BROADCAST_ROWS = 250_000, 6, 500_000
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -38,24 +44,32 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, p, u): the positive and the other texts that hold each feature; with -1 all texts."""
+    total, n = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
     for batch in batches:
+        toxic = np.asarray(batch["toxic"])
         for a, b in chunks(batch["text"]):
             text, feature = features(batch["text"].slice(a, b - a))
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=b - a)))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch["toxic"].slice(a, b - a), lists], ["toxic", "f"])
+            n += np.bincount(toxic[a:b], minlength=2)
+            # A chunk has far fewer pairs than there are features.
+            np.add.at(total, (toxic[a:b][text], feature), 1)
+    used = np.flatnonzero(total.any(0))
+    sums = (np.append(total[k][used].astype(np.int64), n[k]) for k in (1, 0))
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), *map(pa.array, sums)], ["feature", "p", "u"])
 
 
 def _only(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Rows with the selected features of their texts alone."""
-    chosen = np.zeros(1 << BITS, bool)
-    chosen[shared.value] = True
+    """(toxic, f): the places of the selected features that each text holds, as packed int32 in order."""
+    place = np.full(1 << BITS, -1, np.int32)
+    place[shared.value] = np.arange(len(shared.value))
     for batch in batches:
-        flat, sizes = np.asarray(batch["f"].flatten()), np.asarray(pc.list_value_length(batch["f"]))
-        keep = chosen[flat]
-        ends = np.concatenate(([0], np.cumsum(keep)))[np.concatenate(([0], np.cumsum(sizes)))]
-        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[keep]))], ["toxic", "f"])
+        for a, b in chunks(batch["text"]):
+            text, feature = features(batch["text"].slice(a, b - a))
+            held = place[feature] >= 0
+            ends = 4 * np.cumsum(np.bincount(text[held], minlength=b - a))
+            packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(place[feature[held]])])
+            yield pa.RecordBatch.from_arrays([batch["toxic"].slice(a, b - a), packed], ["toxic", "f"])
 
 
 def selected(positive: np.ndarray, unlabelled: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -80,57 +94,99 @@ def pu_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float,
 def threshold(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
     """The logit between two neighbouring ones at which the non-negative PU risk of the zero-one loss is least: p FNR + max(0, share of the
     unlabelled above - p TPR). Of equal ones that in the widest gap, then the highest."""
-    values = np.unique(np.concatenate((zp, zu)))
-    gaps = np.append(np.diff(values), 2.0)
-    cuts = values + gaps / 2
-    miss = np.searchsorted(np.sort(zp), cuts) / len(zp)
-    above = 1 - np.searchsorted(np.sort(zu), cuts) / len(zu)
+    values, at = np.unique(np.concatenate((zp, zu)), return_inverse=True)
+    p, u = (np.bincount(x, minlength=len(values)) for x in (at[: len(zp)], at[len(zp) :]))
+    return least_risk(values, values, p, u, prior)
+
+
+def least_risk(low: np.ndarray, high: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """`threshold` for rising groups of logits, each from low to high with p positives and u unlabelled ones; it lies behind one of them."""
+    gaps = np.append(low[1:] - high[:-1], 2.0)
+    cuts = high + gaps / 2
+    miss, above = np.cumsum(p) / p.sum(), 1 - np.cumsum(u) / u.sum()
     risk = prior * miss + np.maximum(0, above - prior * (1 - miss))
     least = np.flatnonzero(risk <= risk.min() + 1e-12)
     return float(cuts[least[::-1][np.argmax(gaps[least[::-1]])]])
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 40, rate: float = 0.05, l2: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, weights, bias) of the model of least non-negative PU risk with the logistic loss, by Adam on batches; 0 is its threshold."""
+class Rows:
+    """Distinct rows of features with how many positives and unlabelled texts (columns 1 and 0 of n) each stands for."""
+
+    def __init__(self, packed: list[bytes], n: np.ndarray):
+        self.n, self.flat = n.astype(float), np.frombuffer(b"".join(packed), np.int32)
+        self.row = np.repeat(np.arange(len(packed)), [len(x) // 4 for x in packed])
+
+    def logits(self, theta: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=theta[self.flat], minlength=len(self.n)) + theta[-1]
+
+    def sums(self, theta: np.ndarray) -> np.ndarray:
+        """For unlabelled, then positives: the sum of softplus(z), of sigmoid(z) by feature, and of sigmoid(z)."""
+        z = self.logits(theta)
+        s = self.n / (1 + np.exp(-np.clip(z, -40, 40)))[:, None]
+        return np.array([[self.n[:, k] @ np.logaddexp(0, z), *np.bincount(self.flat, weights=s[self.row, k], minlength=len(theta) - 1), s[:, k].sum()] for k in (0, 1)])
+
+    def cells(self, theta: np.ndarray) -> np.ndarray:
+        """(cell, least logit, greatest logit, unlabelled, positives) of each cell that holds a logit."""
+        z = self.logits(theta)
+        cell, at = np.unique(np.floor(z / CELL), return_inverse=True)
+        low, high = np.full(len(cell), np.inf), np.full(len(cell), -np.inf)
+        np.minimum.at(low, at, z)
+        np.maximum.at(high, at, z)
+        return np.stack([cell, low, high, *(np.bincount(at, self.n[:, k], len(cell)) for k in (0, 1))], 1)
+
+
+def merged(cells: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(low, high, positives, unlabelled) of the cells of all tasks."""
+    cells = cells[np.argsort(cells[:, 0], kind="stable")]
+    first = np.flatnonzero(np.concatenate(([True], cells[1:, 0] != cells[:-1, 0])))
+    low, high = np.minimum.reduceat(cells[:, 1], first), np.maximum.reduceat(cells[:, 2], first)
+    u, p = (np.add.reduceat(cells[:, k], first) for k in (3, 4))
+    return low, high, p, u
+
+
+def descend(sums, held: np.ndarray, sizes: tuple[float, float], prior: float, l2: float = 1e-4) -> np.ndarray:
+    """Weights, then bias, of least non-negative PU risk with the logistic loss, by Adam over all rows. sums(theta): see Rows.sums, of all rows; held:
+    the positives that hold each feature; sizes: unlabelled, positives. The steps are those of `pu_risk`; since sigmoid(z) + sigmoid(-z) = 1, the
+    first part's gradient needs only `held`."""
+    theta = np.zeros(len(held) + 1)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, STEPS + 1):
+        (loss_u, *unlabelled), (loss_p, *positive) = sums(theta)
+        unlabelled, positive = np.array(unlabelled) / sizes[0], np.array(positive) / sizes[1]
+        if loss_u / sizes[0] - prior * loss_p / sizes[1] >= 0:
+            grad = unlabelled - prior * np.append(held / sizes[1], 1)
+        else:
+            grad = prior * positive - unlabelled
+        grad[:-1] += l2 * theta[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        theta -= RATE * 0.5 ** (step / HALF) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return theta
+
+
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(features, weights, bias) of the model of least non-negative PU risk for rows in memory; 0 is its threshold."""
     df = [np.bincount(np.concatenate([*s, np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << BITS) for s in (positive, unlabelled)]
     used = np.flatnonzero(selected(df[0], df[1], len(positive), len(unlabelled)))
+    if not positive or not unlabelled:
+        return used, np.zeros(len(used)), -4.0
     place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
+    packed = [p[p >= 0].tobytes() for p in (place[r] for r in [*positive, *unlabelled])]
+    rows = Rows(packed, np.repeat([[0, 1], [1, 0]], [len(positive), len(unlabelled)], axis=0))
+    theta = descend(rows.sums, df[0][used], (len(unlabelled), len(positive)), prior)
+    return used, theta[:-1], float(theta[-1]) - least_risk(*merged(rows.cells(theta)), prior)
 
-    def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        kept = [p[p >= 0] for p in (place[r] for r in rows)]
-        return np.concatenate(([0], np.cumsum([len(k) for k in kept]))).astype(np.int64), np.concatenate([*kept, np.zeros(0, np.int32)])
-
-    def at(rows: tuple[np.ndarray, np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, column) of the features of some rows, and the rows' logits."""
-        first, flat = rows
-        length = first[order + 1] - first[order]
-        places = np.repeat(first[order] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))
-        row, column = np.repeat(np.arange(len(order)), length), flat[places]
-        return row, column, np.bincount(row, weights=theta[column], minlength=len(order)) + theta[-1]
-
-    sets = [sparse(positive), sparse(unlabelled)]
-    theta = np.zeros(len(used) + 1)
-    m, v, step = np.zeros_like(theta), np.zeros_like(theta), 0
-    rng = np.random.default_rng(seed)
-    sizes = [len(positive), len(unlabelled)]
-    if not all(sizes):
-        return used, theta[:-1], -4.0
-    batches = max(4, sizes[1] // 1000)
-    for epoch in range(epochs):
-        orders = [np.array_split(rng.permutation(n), batches) for n in sizes]
-        for b in range(batches):
-            (rp, cp, zp), (ru, cu, zu) = (at(rows, order[b]) for rows, order in zip(sets, orders, strict=True))
-            if not len(zp) or not len(zu):
-                continue
-            _, _, gp, gu = pu_risk(zp, zu, prior)
-            grad = np.append(np.bincount(cp, gp[rp], len(used)) + np.bincount(cu, gu[ru], len(used)), gp.sum() + gu.sum())
-            grad[:-1] += l2 * theta[:-1]
-            step += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            theta -= rate / (1 + epoch / 10) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    zp, zu = (at(rows, np.arange(n))[2] for rows, n in zip(sets, sizes, strict=True))
-    return used, theta[:-1], float(theta[-1]) - threshold(zp, zu, prior)
+
+def _of_rows(batches: Iterator[pa.RecordBatch], shared, what: str) -> Iterator[pa.RecordBatch]:
+    """One row: Rows.sums or Rows.cells over the task's rows, as bytes."""
+    total = []
+    for batch in batches:
+        rows = Rows(batch["f"].to_pylist(), np.stack([np.asarray(batch[c]) for c in ("u", "p")], 1))
+        total.append(getattr(rows, what)(shared.value))
+        if what == "sums":
+            total = [sum(total)]
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(total).tobytes()], pa.binary())], ["z"])
 
 
 def logits(model: tuple[np.ndarray, np.ndarray, float], text: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
@@ -140,12 +196,15 @@ def logits(model: tuple[np.ndarray, np.ndarray, float], text: np.ndarray, featur
     return np.bincount(text, weights=w, minlength=n) + bias
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, most_positive: int = 4000, most_unlabelled: int = 24_000) -> dict:
+def train(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> dict:
     """The model. docs: doc_id, text; labels: doc_id, toxic. Rows whose crc32(doc_id as text) mod 5 is `held_out`, and rows
-    with null ids, take no part.
+    with null ids, take no part; all others do.
+
+    Positive are the texts of ids with a label over 0; all others are unlabelled. Features are counted over all texts. Rows of the
+    selected features are written once, equal ones with a count; each step of the descent sums its gradient over them in the cluster. What reaches the
+    driver is the features that positives hold (2**20 at most), gradients, and counts by cell of the logit for the threshold.
 
-    At most `most_positive` texts of ids with a label over 0, and `most_unlabelled` of all other ids, both in the order of a hash of the
-    id, are learned from. Of the labelled ids a share q is over 0; if labels are given to ids at random, the ids that nobody labelled hold
+    Of the labelled ids a share q is over 0; if labels are given to ids at random, the ids that nobody labelled hold
     as large a share, which gives p among all that aren't confirmed. Where all labels are over 0, q is their share of the documents. Of
     labels that contradict each other the highest counts, null labels don't. Without labels over 0 all scores are those of an empty
     model (clean)."""
@@ -159,25 +218,34 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, most_positive:
     total = max(ids.count(), n, 1)
     q = toxic / (n if toxic < n else total) if n else 0.0
     prior = min(max(q * (total - n) / max(total - toxic, 1), 1e-3), 0.9)
-    order = F.xxhash64("doc_id", F.lit(17))
-    positive = known.where("toxic > 0").select("doc_id").orderBy(order, "doc_id").limit(most_positive)
-    every = ids.join(known.where("toxic > 0"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(most_unlabelled)
-    chosen = positive.withColumn("toxic", F.lit(1)).union(every.withColumn("toxic", F.lit(0)))
-    # The bounds above bound what is broadcast.
-    sampled = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(_featurised, "toxic int, f array<int>"))
-    # Only features that count reach the driver.
-    sizes = {r.toxic: r.n for r in sampled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    side_of = lambda k: F.sum((F.col("toxic") == k).cast("long"))
-    df = sampled.select("toxic", F.explode("f").alias("feature")).groupBy("feature").agg(side_of(1).alias("p"), side_of(0).alias("u"))
-    df = df.where(f"p + u >= {LEAST_TEXTS} and p > 0").toArrow()
-    counted = selected(np.asarray(df["p"]), np.asarray(df["u"]), sizes.get(1, 0), sizes.get(0, 0))
-    shared = scratch.share(np.asarray(df["feature"])[counted])
-    sampled = sampled.mapInArrow(partial(_only, shared=shared), "toxic int, f array<int>").toArrow()
-    kind = np.asarray(sampled["toxic"])
-    rows = [np.asarray(x.values) for x in sampled["f"]]
-    used, weight, bias = fit_nnpu([r for r, k in zip(rows, kind, strict=True) if k], [r for r, k in zip(rows, kind, strict=True) if not k], prior)
+    positive = known.where("toxic > 0").select("doc_id", F.lit(1).alias("toxic"))
+    positive = F.broadcast(positive) if toxic <= BROADCAST_ROWS else positive
+    marked = docs.select("doc_id", "text").where(side).join(positive, "doc_id", "left").select(F.coalesce("toxic", F.lit(0)).alias("toxic"), "text")
+    df = scratch.keep(marked.mapInArrow(_counts, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")))
+    sizes = [(r.u or 0, r.p or 0) for r in df.where("feature = -1").collect()] or [(0, 0)]
+    if not all(sizes[0]):
+        return {"used": np.zeros(0, np.int32), "weight": np.zeros(0, np.float32), "bias": -4.0, "prior": prior}
+    df = df.where(f"feature >= 0 and p + u >= {LEAST_TEXTS} and p > 0").orderBy("feature").toArrow()
+    held, others = np.asarray(df["p"]), np.asarray(df["u"])
+    counted = selected(held, others, sizes[0][1], sizes[0][0])
+    used, held = np.asarray(df["feature"])[counted], held[counted]
+    del df
+    shared = scratch.share(used)
+    rows = marked.mapInArrow(partial(_only, shared=shared), "toxic int, f binary").groupBy("f")
+    rows = scratch.keep(rows.agg(F.sum(1 - F.col("toxic")).alias("u"), F.sum("toxic").alias("p")))
+    dealt = rows.coalesce(max(TASKS, rows.count() // TASK_ROWS))
     scratch.free()
-    return {"used": used.astype(np.int32), "weight": weight.astype(np.float32), "bias": bias, "prior": prior}
+
+    def of_rows(theta: np.ndarray, what: str) -> list[np.ndarray]:
+        shared = scratch.share(theta)
+        out = [np.frombuffer(r.z, float) for r in dealt.mapInArrow(partial(_of_rows, shared=shared, what=what), "z binary").collect()]
+        scratch.free()
+        return out
+
+    theta = descend(lambda theta: sum(of_rows(theta, "sums")).reshape(2, -1), held, sizes[0], prior)
+    cells = np.concatenate([x.reshape(-1, 5) for x in of_rows(theta, "cells")])
+    bias = float(theta[-1]) - least_risk(*merged(cells), prior)
+    return {"used": used.astype(np.int32), "weight": theta[:-1].astype(np.float32), "bias": bias, "prior": prior}
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model, text: int, columns: list[int], names: list[str]) -> Iterator[pa.RecordBatch]:

@@ -47,6 +47,37 @@ def test_toxicity_on_held_out_rows(spark, toxic_rows):
     assert toxicity.op4(docs, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_learns_from_all_rows(spark):
+    """4,200 positives, of which the 200 of greatest hash hold a word of their own: it is learned as well as the others' word."""
+    rng = random.Random(10)
+    plain = [f"{a}{b}" for a in "ba ko li mu ne".split() for b in "ra ti so ple dun".split()]
+    first = {r.doc_id for r in spark.range(4200).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(4000).collect()}
+    rows = [(i, prose(rng, plain, 6) + (" vilex" if i in first else " groma") if i < 4200 else prose(rng, plain, 6)) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i < 4200)) for i in range(9000)], "doc_id long, toxic int"), held_out=-1)
+    of = lambda text: float(toxicity.logits((model["used"], model["weight"], model["bias"]), *toxicity.features(pa.array([text])), 1)[0])
+    assert of("bara kora vilex") > 0 and of("bara kora groma") > 0 and of("bara kora lira") < 0
+
+
+def test_sums_by_feature_give_the_pu_steps():
+    rng = np.random.default_rng(7)
+    lists = [np.unique(rng.integers(0, 6, rng.integers(0, 5))).astype(np.int32) for _ in range(40)]
+    kind = np.arange(40) < 15
+    rows = toxicity.Rows([x.tobytes() for x in lists], np.stack([~kind, kind], 1))
+    for scale in (0.1, 3.0):
+        theta = rng.normal(size=7) * scale
+        z = np.array([theta[x].sum() + theta[-1] for x in lists])
+        assert np.allclose(rows.logits(theta), z)
+        for k, of in enumerate((~kind, kind)):
+            sigmoid = 1 / (1 + np.exp(-z[of]))
+            by_feature = [sum(s for s, x in zip(sigmoid, (x for x, o in zip(lists, of, strict=True) if o), strict=True) if f in x) for f in range(6)]
+            assert np.allclose(rows.sums(theta)[k], [np.logaddexp(0, z[of]).sum(), *by_feature, sigmoid.sum()])
+        low, high, p, u = toxicity.merged(np.concatenate([rows.cells(theta), rows.cells(theta)]))
+        assert (low <= high).all() and p.sum() == 30 and u.sum() == 50
+        cut, exact = toxicity.least_risk(low, high, p, u, 0.2), toxicity.threshold(z[kind], z[~kind], 0.2)
+        assert ((z > cut) == (z > exact)).mean() >= 0.95
+
+
 def test_nnpu_risk_needs_no_negatives():
     rng = np.random.default_rng(2)
     positive = [np.unique(np.append(rng.integers(100, 200, 10), rng.integers(0, 5, 2))) for _ in range(200)]
