@@ -112,9 +112,12 @@ def least_risk(low: np.ndarray, high: np.ndarray, p: np.ndarray, u: np.ndarray,
 class Rows:
     """Distinct rows of features with how many positives and unlabelled texts (columns 1 and 0 of n) each stands for."""
 
-    def __init__(self, packed: list[bytes], n: np.ndarray):
-        self.n, self.flat = n.astype(float), np.frombuffer(b"".join(packed), np.int32)
-        self.row = np.repeat(np.arange(len(packed)), [len(x) // 4 for x in packed])
+    def __init__(self, packed: pa.Array | list[bytes], n: np.ndarray):
+        packed = packed if isinstance(packed, pa.Array) else pa.array(packed, pa.binary())
+        _, ends, data = packed.buffers()
+        ends = np.frombuffer(ends, np.int32)[packed.offset : packed.offset + len(packed) + 1]
+        self.n, self.flat = n.astype(float), np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].view(np.int32)
+        self.row = np.repeat(np.arange(len(packed)), np.diff(ends) // 4)
 
     def logits(self, theta: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=theta[self.flat], minlength=len(self.n)) + theta[-1]
@@ -181,7 +184,7 @@ def _of_rows(batches: Iterator[pa.RecordBatch], shared, what: str) -> Iterator[p
     """One row: Rows.sums or Rows.cells over the task's rows, as bytes."""
     total = []
     for batch in batches:
-        rows = Rows(batch["f"].to_pylist(), np.stack([np.asarray(batch[c]) for c in ("u", "p")], 1))
+        rows = Rows(batch["f"], np.stack([np.asarray(batch[c]) for c in ("u", "p")], 1))
         total.append(getattr(rows, what)(shared.value))
         if what == "sums":
             total = [sum(total)]
