@@ -30,10 +30,13 @@ def text_hash(c: Column) -> Column:
     return F.substring(F.sha2(ws_normalise(c).cast("binary"), 256), 1, 12)
 
 
-def html_unescape(c: Column) -> Column:
+def html_unescape(c: Column, open_names: tuple[str, ...] | None = None) -> Column:
     """All character references of HTML as their characters: named ones (the standard's table, those that need no semicolon too), decimal
-    and hexadecimal ones. Numbers of the old Windows page stand for its characters, numbers of no character for U+FFFD or nothing."""
-    names = F.create_map(*(F.lit(x) for pair in _NAMED.items() for x in pair))
+    and hexadecimal ones. Numbers of the old Windows page stand for its characters, numbers of no character for U+FFFD or nothing.
+    With `open_names` these names alone need no semicolon; other names, and numbers, do."""
+    known = {n: x for n, x in _NAMED.items() if open_names is None or n.endswith(";") or n in open_names}
+    number = "^&#(?:[0-9]|[xX][0-9A-Fa-f])" if open_names is None else "^&#(?:[0-9]+|[xX][0-9A-Fa-f]+);"
+    names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     longest = max(map(len, _LEGACY))
 
     def numbered(x: Column) -> Column:
@@ -55,7 +58,7 @@ def html_unescape(c: Column) -> Column:
         return F.when(held.isNull(), x).otherwise(F.concat(F.element_at(names, held), F.substring(x, F.length(held) + 2, F.length(x))))
 
     def one(x: Column) -> Column:
-        return F.when(x.rlike("^&#(?:[0-9]|[xX][0-9A-Fa-f])"), numbered(x)).when(x.rlike("^&[A-Za-z]"), named(x)).otherwise(x)
+        return F.when(x.rlike(number), numbered(x)).when(x.rlike("^&[A-Za-z]"), named(x)).otherwise(x)
 
     return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "(?=&)", -1), one), "")).otherwise(c)
 
