@@ -21,3 +21,15 @@ def test_html_unescape_open_references(spark, tmp_path):
     texts = ["token = &quot</title>", "&lt &gt;&nbsp", "&#39 &#39; &#8217", "&amp &amp; &ampx &amp;lt; &amp;quot", "&copy 2020 &copy;", None, ""]
     rows = [(i, "u", t) for i, t in enumerate(texts)]
     assert differing(spark, tmp_path, "html_unescape", "pages", rows, "page_id long, url string, html string") == (set(), set())
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def texts(*found):
+    return [(i, t, "en", "s", len(t or "")) for i, t in enumerate(found)]
+
+
+def test_sentence_split_simple_empty_texts(spark, tmp_path):
+    rows = texts("", "  ", "\n", None, "One. Two! (Three)", "Mr. A came. Then B", "?", " a")
+    assert differing(spark, tmp_path, "sentence_split_simple", "documents", rows, DOCUMENTS) == (set(), set())
