@@ -33,3 +33,8 @@ def texts(*found):
 def test_sentence_split_simple_empty_texts(spark, tmp_path):
     rows = texts("", "  ", "\n", None, "One. Two! (Three)", "Mr. A came. Then B", "?", " a")
     assert differing(spark, tmp_path, "sentence_split_simple", "documents", rows, DOCUMENTS) == (set(), set())
+
+
+def test_strip_bullets_odd_openings(spark, tmp_path):
+    rows = texts("", "", "", "", " a", " a", "\n a", " a", "• b", "(cid:1) b", "2. b", "- B", "xx", "x", " ", None)
+    assert differing(spark, tmp_path, "strip_bullets", "documents", rows, DOCUMENTS) == (set(), set())
