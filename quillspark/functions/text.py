@@ -123,12 +123,13 @@ def words_between(c: Column, a: Column, b: Column) -> Column:
     return F.when(gap.isNull(), 0).otherwise(n_words(gap))
 
 
-def gaps_and_hits(c: Column, pattern: str) -> Column:
-    """(gaps, hits): what lies between the matches of a pattern, and the matches; both empty without one."""
-    none = F.array().cast("array<string>")
+def gaps_and_hits(c: Column, pattern: str, there: Column | None = None) -> Column:
+    """(gaps, hits): what lies between the matches of a pattern, and the matches; both empty without one. Where it is known whether there are
+    matches, or whether they matter, `there` says so and the text isn't searched for it."""
+    none, there = F.array().cast("array<string>"), c.rlike(pattern) if there is None else there
     return F.struct(
-        F.when(c.rlike(pattern), F.split(c, pattern, -1)).otherwise(none).alias("gaps"),
-        F.when(c.rlike(pattern), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))).otherwise(none).alias("hits"),
+        F.when(there, F.split(c, pattern, -1)).otherwise(none).alias("gaps"),
+        F.when(there, F.regexp_extract_all(c, F.lit(pattern), F.lit(0))).otherwise(none).alias("hits"),
     )
 
 

@@ -4,6 +4,8 @@ scoring is a projection: no join of rules with rows, no explosion of matches, no
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,10 +66,23 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def with_spans(df: DataFrame, rules: list[ToneRule], text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """Adds the marked spans of each distinct pattern, found once however many rules share it; of moves those that aren't negated, and for
-    each subject the spans of all others. The names of the new columns are returned by what they hold."""
+    each subject the spans of all others. The names of the new columns are returned by what they hold.
+
+    A rule can only fire in a row that its move, subject and requirement match, so a pattern's spans are found where such a rule uses it, and are
+    empty elsewhere: all moves' and subjects' patterns are searched for once, and most rows need no more."""
     subjects, moves = (list(dict.fromkeys(getattr(r, k) for r in rules if getattr(r, k))) for k in ("subject", "move"))
     patterns = list(dict.fromkeys([*subjects, *moves]))
-    df = materialise(df, {f"__raw{i}": T.gaps_and_hits(F.col(text), "(?iU)" + p) for i, p in enumerate(patterns)})
+    tested = list(dict.fromkeys([*patterns, *(r.require for r in rules if r.require)]))
+    has = {p: F.col(f"__has{i}") for i, p in enumerate(tested)}
+    df = materialise(df, {f"__has{i}": F.coalesce(F.col(text).rlike("(?iU)" + p), F.lit(False)) for i, p in enumerate(tested)})
+
+    def needed(p: str) -> Column:
+        """Whether `p` occurs and a rule that can fire uses it: as its move or subject, or as a subject that may be nearer."""
+        used = [reduce(and_, (has[q] for q in (r.move, r.subject, r.require) if q)) for r in rules if p in (r.move, r.subject) or (p in subjects and r.subject)]
+        return has[p] & reduce(or_, used)
+
+    df = materialise(df, {f"__raw{i}": T.gaps_and_hits(F.col(text), "(?iU)" + p, needed(p)) for i, p in enumerate(patterns)})
+    df = df.drop(*(f"__has{i}" for i in range(len(tested))))
     df = materialise(df, {f"__span{i}": T.marked_spans(F.col(f"__raw{i}.gaps"), F.col(f"__raw{i}.hits")) for i in range(len(patterns))})
     df = df.drop(*(f"__raw{i}" for i in range(len(patterns))))
     span = {p: f"__span{i}" for i, p in enumerate(patterns)}
@@ -97,7 +112,7 @@ def fires(rule: ToneRule, names: dict[str, str], text: Column) -> Column:
 
         hit = (F.size(subject) > 0) & (F.size(moves) > 0) & F.exists(subject, lambda s: F.exists(moves, lambda m: pair(s, m)))
     if rule.require:
-        hit = text.rlike("(?iU)" + rule.require) & hit
+        hit = hit & text.rlike("(?iU)" + rule.require)
     return F.coalesce(hit, F.lit(False))
 
 
@@ -167,12 +182,14 @@ def score_topic(df: DataFrame, rules: list[TopicRule], method: str = "first", te
 
 def labellable(df: DataFrame) -> Column:
     """No decisions, fragments, short or long sentences, or administrative notes."""
-    return ~(F.col("is_decision") | F.col("is_fragment") | F.col("is_short") | (F.col("n_words") > 80) | (F.col("section_hint") == "admin"))
+    return ~((F.col("section_hint") == "admin") | F.col("is_fragment") | F.col("is_short") | (F.col("n_words") > 80) | F.col("is_decision"))
 
 
 def label_sentences(df: DataFrame, tones: list[ToneRule], topics: list[TopicRule], method: str = "first") -> DataFrame:
-    """Weak labels of sentences; those that aren't labellable have null labels."""
-    out = score_topic(score_tone(df.withColumn("labellable", labellable(df)), tones), topics, method)
+    """Weak labels of sentences; those that aren't labellable have null labels, and the rules don't read them."""
+    read = materialise(df, {"labellable": labellable(df)})
+    read = materialise(read, {"__text": F.when(F.col("labellable"), F.col("text"))})
+    out = score_topic(score_tone(read, tones, "__text"), topics, method, "__text").drop("__text")
     keep = F.col("labellable")
     joined = {c: F.array_join(c, " ") for c in ("hawk_rules", "dove_rules")}
     cols = {c: F.when(keep, joined.get(c, F.col(c))) for c in ("tone_weak", "tone_score", "hawk_rules", "dove_rules", "topic_weak", "topic_source", "hint_agrees")}

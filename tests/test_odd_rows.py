@@ -1,6 +1,9 @@
 """Queries against their SQL on rows that the given tables don't hold."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
+from quillspark.operators import rules as E
 
 
 def differing(spark, path, name, table, rows, schema):
@@ -38,3 +41,11 @@ def test_sentence_split_simple_empty_texts(spark, tmp_path):
 def test_strip_bullets_odd_openings(spark, tmp_path):
     rows = texts("", "", "", "", " a", " a", "\n a", " a", "• b", "(cid:1) b", "2. b", "- B", "xx", "x", " ", None)
     assert differing(spark, tmp_path, "strip_bullets", "documents", rows, DOCUMENTS) == (set(), set())
+
+
+def test_spans_only_where_a_rule_can_fire(spark):
+    rules = [E.ToneRule("a", "hawkish", "that", "tion", "", 3), E.ToneRule("b", "dovish", "que", "ment", "and", 2)]
+    rows = [(1, "the nation alone"), (2, "that nation and a moment"), (3, "que moment"), (4, None)]
+    x, names = E.with_spans(spark.createDataFrame(rows, "id int, text string"), rules)
+    got = {r.id: [r.tion, r.ment, r.que] for r in x.select("id", *(F.size(names[f"all:{p}"]).alias(p) for p in ("tion", "ment", "que"))).collect()}
+    assert got == {1: [0, 0, 0], 2: [1, 1, 0], 3: [0, 0, 0], 4: [0, 0, 0]}
