@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from quillspark.operators import evaluation as V
 from quillspark.operators import rules as E
 
 
@@ -49,3 +50,13 @@ def test_spans_only_where_a_rule_can_fire(spark):
     x, names = E.with_spans(spark.createDataFrame(rows, "id int, text string"), rules)
     got = {r.id: [r.tion, r.ment, r.que] for r in x.select("id", *(F.size(names[f"all:{p}"]).alias(p) for p in ("tion", "ment", "que"))).collect()}
     assert got == {1: [0, 0, 0], 2: [1, 1, 0], 3: [0, 0, 0], 4: [0, 0, 0]}
+
+
+def test_bootstrap_looks_draws_up_in_blocks(spark, monkeypatch):
+    rows = [(i, [0, 1, None, 7][i % 4], i % 2, [1, None, 0][i % 3]) for i in range(40)]
+    x = spark.createDataFrame(rows, "at long, truth int, a int, b int")
+    whole = {r.metric: (r.low, r.high) for r in V.bootstrap(x, "at", "truth", ["a", "b"], [0, 1], 50).collect()}
+    monkeypatch.setattr(V, "BLOCK", 7)
+    parted = V.bootstrap(x, "at", "truth", ["a", "b"], [0, 1], 50)
+    assert whole == {r.metric: (r.low, r.high) for r in parted.collect()} and len(whole) == 3
+    assert "SortMergeJoin" not in parted._jdf.queryExecution().toString()
