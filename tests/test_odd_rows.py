@@ -60,3 +60,10 @@ def test_bootstrap_looks_draws_up_in_blocks(spark, monkeypatch):
     parted = V.bootstrap(x, "at", "truth", ["a", "b"], [0, 1], 50)
     assert whole == {r.metric: (r.low, r.high) for r in parted.collect()} and len(whole) == 3
     assert "SortMergeJoin" not in parted._jdf.queryExecution().toString()
+
+
+def test_parts_grow_with_the_table(spark):
+    from quillspark.tables import dealt_by_size, table
+
+    x = table(spark, "/root/testdata/sf0.001", "documents")
+    assert dealt_by_size(x, "doc_id", 4096).rdd.getNumPartitions() > dealt_by_size(x, "doc_id").rdd.getNumPartitions() == 16
