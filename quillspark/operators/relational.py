@@ -103,3 +103,29 @@ def with_zscore(df: DataFrame, c: str, out: str) -> DataFrame:
     s = df.agg(F.avg(c).alias("__m"), F.stddev_pop(c).alias("__s"))
     z = F.when(F.col("__s") == 0, F.when(F.col(c).isNotNull(), 0.0)).otherwise((F.col(c) - F.col("__m")) / F.col("__s"))
     return df.join(F.broadcast(s)).withColumn(out, z).drop("__m", "__s")
+
+
+def exact_quantiles(df: DataFrame, by: str, value: str, wanted: dict[str, float], margin: float = 0.001, few: int = 10_000) -> DataFrame:
+    """`by` and the exact interpolated quantiles of each group, by name, without a task that holds a group.
+
+    A sketch, which is of fixed size, gives bounds `margin` of the ranks to either side of each quantile, ten times its error; rows below are
+    counted, and only the values between the bounds (of groups of up to `few` rows all) are put in order."""
+    x = df.where(F.col(value).isNotNull()).select(F.col(by).alias("__by"), F.col(value).cast("double").alias("__v"))
+    ends = [max(0.0, min(1.0, q + s)) for q in wanted.values() for s in (-margin, margin)]
+    sketch = x.groupBy("__by").agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", F.array(*map(F.lit, ends)), F.lit(round(10 / margin))).alias("__e"))
+    end = lambda i: F.when((F.col("__n") > few) & F.lit(0 < ends[i] < 1), F.get("__e", i))
+    sketch = sketch.select(F.col("__by").alias("__g"), "__n", *(end(i).alias(f"__e{i}") for i in range(len(ends))))
+    met = x.join(F.broadcast(sketch), F.col("__by").eqNullSafe(F.col("__g")))
+    below = [F.coalesce(F.col("__v") < F.col(f"__e{2 * k}"), F.lit(False)) for k in range(len(wanted))]
+    within = [~b & F.coalesce(F.col("__v") <= F.col(f"__e{2 * k + 1}"), F.lit(True)) for k, b in enumerate(below)]
+    before = met.groupBy("__by").agg(F.max("__n").alias("__n"), F.array(*(F.count_if(b) for b in below)).alias("__below"))
+    near = met.select("__by", "__v", F.explode(F.array_compact(F.array(*(F.when(w, k) for k, w in enumerate(within))))).alias("__k"))
+    near = near.groupBy("__by", "__k", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    near = near.withColumn("__upto", F.sum("__c").over(Window.partitionBy("__by", "__k").orderBy("__v")))
+    near = near.join(F.broadcast(before.withColumnRenamed("__by", "__g")), F.col("__by").eqNullSafe(F.col("__g")))
+    at = (F.col("__n") - 1) * F.get(F.array(*map(F.lit, wanted.values())), F.col("__k"))
+    upto = F.get("__below", F.col("__k")) + F.col("__upto")
+    least = lambda rank: F.min(F.when(upto > rank, F.col("__v")))
+    ranks = near.groupBy("__by", "__k").agg(F.first(at).alias("at"), least(F.floor(at)).alias("lo"), least(F.ceil(at)).alias("hi"))
+    mixed = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))
+    return ranks.groupBy(F.col("__by").alias(by)).agg(*(F.max(F.when(F.col("__k") == k, mixed)).alias(name) for k, name in enumerate(wanted)))

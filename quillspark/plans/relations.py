@@ -197,8 +197,10 @@ def count_distinct(spark, d):
 @query("""select l_returnflag, min(l_extendedprice) as least, median(l_extendedprice) as middle, quantile_cont(l_extendedprice, 0.9) as q90,
 quantile_cont(l_extendedprice, 0.99) as q99, max(l_extendedprice) as most from lineitem group by 1""")
 def quantiles(spark, d):
-    p = lambda q: F.percentile("l_extendedprice", F.lit(q))
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.min("l_extendedprice").alias("least"), p(0.5).alias("middle"), p(0.9).alias("q90"), p(0.99).alias("q99"), F.max("l_extendedprice").alias("most"))
+    x = table(spark, d, "lineitem")
+    ends = x.groupBy("l_returnflag").agg(F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"))
+    found = R.exact_quantiles(x, "l_returnflag", "l_extendedprice", {"middle": 0.5, "q90": 0.9, "q99": 0.99})
+    return ends.join(F.broadcast(found), ends.l_returnflag.eqNullSafe(found.l_returnflag), "left").select(ends.l_returnflag, "least", "middle", "q90", "q99", "most")
 
 
 @query("""select count(x) as n, round_even(avg(x), 3) as mean, round_even(stddev_samp(x), 3) as std, min(x) as least, round_even(quantile_cont(x, 0.25), 3) as q25,

@@ -67,3 +67,13 @@ def test_parts_grow_with_the_table(spark):
 
     x = table(spark, "/root/testdata/sf0.001", "documents")
     assert dealt_by_size(x, "doc_id", 4096).rdd.getNumPartitions() > dealt_by_size(x, "doc_id").rdd.getNumPartitions() == 16
+
+
+def test_exact_quantiles_of_groups(spark):
+    from quillspark.operators import relational as R
+
+    x = spark.range(30_000).selectExpr("if(id < 7, null, if(id < 8, 'one', if(id < 400, 'b', 'a'))) as g", "if(id % 11 = 0, null, pmod(hash(id), if(id % 2 = 0, 50, 100000)) / 7.0) as v")
+    q = {"p0": 0.0, "mid": 0.5, "p99": 0.99, "p1": 1.0}
+    got = {r.g: list(r)[1:] for r in R.exact_quantiles(x, "g", "v", q).collect()}
+    want = {r.g: r.p for r in x.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, q.values()))).alias("p")).collect()}
+    assert set(got) == set(want) and all(abs(a - b) < 1e-9 * max(1, b) for g in want for a, b in zip(got[g], want[g], strict=True))
